@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import audio, bpe, chat, frames, licenses
+from millrace.llm import audio, bpe, chat, frames, licenses, simhash, toxicity
 from millrace.llm.common import table
 
 #: Appended to the conversations: both turns say what a template must not take for its own marks.
@@ -21,6 +21,10 @@ def byte_bpe_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("bigint"), F.col("turn").cast("bigint"), "role", F.coalesce("text", F.lit("")).alias("text"))
     marked = spark.range(2).select(F.lit(-7).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(MARKED_CONVERSATION).alias("text"))
@@ -44,8 +48,15 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"), "doc_id", "text").drop("spans")
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), "doc_id", "text", "toxic")
+    scored = toxicity.score(docs, model, "doc_id", "text")
+    return scored.select("doc_id", toxicity.held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_chat_format, op5_audio_features, op6_bpe, op8_token_ids, op9_license_scan)}
+    return {f.__name__: f for f in (op1_simhash_dedup, op4_chat_format, op5_audio_features, op6_bpe, op8_token_ids, op9_license_scan, op10_toxicity)}
 
 
 _CONTROL = "|".join(c[0].replace("[", r"\[") + r"\\*" + c[1:].replace("|", r"\|").replace("[", r"\[").replace("]", r"\]") for c in chat.CONTROLS)
