@@ -79,9 +79,9 @@ def forest(fps: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int]]:
             i = root[i]
         return i
 
-    out = []
+    out, bits = [], fps.view(np.uint64)  # of a negative number, bitwise_count counts the absolute value's bits
     for i in range(1, len(fps)):
-        for j in np.flatnonzero(np.bitwise_count(fps[:i] ^ fps[i]) <= radius).tolist():
+        for j in np.flatnonzero(np.bitwise_count(bits[:i] ^ bits[i]) <= radius).tolist():
             a, b = find(i), find(j)
             if a != b:
                 root[a] = b
