@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import audio, bpe, chat, decontaminate, frames, licenses, simhash, toxicity
+from millrace.llm import audio, bpe, chat, decontaminate, frames, licenses, simhash, toxicity, warc
 from millrace.llm.common import table
 
 #: Appended to the conversations: both turns say what a template must not take for its own marks.
@@ -29,6 +29,10 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.read(warc.write(table(spark, sf_dir, "pages"), "page_id", "url", "html")).drop("url")
+
+
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("bigint"), F.col("turn").cast("bigint"), "role", F.coalesce("text", F.lit("")).alias("text"))
     marked = spark.range(2).select(F.lit(-7).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(MARKED_CONVERSATION).alias("text"))
@@ -60,13 +64,14 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_dedup, op2_decontaminate, op4_chat_format, op5_audio_features, op6_bpe, op8_token_ids, op9_license_scan, op10_toxicity)}
+    return {f.__name__: f for f in (op1_simhash_dedup, op2_decontaminate, op3_warc, op4_chat_format, op5_audio_features, op6_bpe, op8_token_ids, op9_license_scan, op10_toxicity)}
 
 
 _CONTROL = "|".join(c[0].replace("[", r"\[") + r"\\*" + c[1:].replace("|", r"\|").replace("[", r"\[").replace("]", r"\]") for c in chat.CONTROLS)
 
 ORACLE_SQL = {
     "op2_decontaminate": decontaminate.oracle_sql(),
+    "op3_warc": warc.oracle_sql(),
     "op4_chat_format": f"""
         WITH rows_ AS (
             SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations

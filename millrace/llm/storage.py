@@ -17,4 +17,4 @@ def create(uri: str) -> NativeFile:
     """A new file, with the folders above it."""
     fs, path = filesystem(uri)
     fs.create_dir(path.rpartition("/")[0], recursive=True)
-    return fs.open_output_stream(path)
+    return fs.open_output_stream(path, compression=None)
