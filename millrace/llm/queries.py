@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import audio, bpe, chat, decontaminate, frames, licenses, simhash, toxicity, warc
+from millrace.llm import audio, bpe, chat, ctw, decontaminate, frames, licenses, simhash, toxicity, warc
 from millrace.llm.common import table
 
 #: Appended to the conversations: both turns say what a template must not take for its own marks.
@@ -48,6 +48,10 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest_column(table(spark, sf_dir, "documents"), "doc_id", "text", byte_bpe_path())
 
 
+def op7_ctw_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctw.score(table(spark, sf_dir, "documents"), "doc_id", "text", ctw.held_out("doc_id"))
+
+
 def op8_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frames.read_documents(spark, frames.write_ids(table(spark, sf_dir, "documents"), "doc_id", "text", byte_bpe_path(), end_id=2))
 
@@ -64,7 +68,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_dedup, op2_decontaminate, op3_warc, op4_chat_format, op5_audio_features, op6_bpe, op8_token_ids, op9_license_scan, op10_toxicity)}
+    return {f.__name__: f for f in (op1_simhash_dedup, op2_decontaminate, op3_warc, op4_chat_format, op5_audio_features, op6_bpe, op7_ctw_score, op8_token_ids, op9_license_scan, op10_toxicity)}
 
 
 _CONTROL = "|".join(c[0].replace("[", r"\[") + r"\\*" + c[1:].replace("|", r"\|").replace("[", r"\[").replace("]", r"\]") for c in chat.CONTROLS)
