@@ -1,20 +1,51 @@
-"""A corpus pipeline over `documents`: each stage reads what its predecessor kept, as Parquet."""
+"""A corpus pipeline over `documents`: each stage reads what its predecessor kept, as Parquet.
+
+Toxic documents go, then all but one document of each near-duplicate group, then documents that hold a window of
+a benchmark item; those that are left are encoded. Documents that no rule names pass unchanged, rows that repeat
+and null texts and ids included; of a near-duplicate group the document with the smallest doc_id stays.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from millrace.llm import bpe
-from millrace.llm.common import scratch_path
+from millrace.llm import bpe, decontaminate, simhash, toxicity
+from millrace.llm.common import cut, scratch_path, table
 from millrace.llm.queries import byte_bpe_path
 
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, fitted on the labels of documents still here, doesn't reject."""
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), "doc_id", "text", "toxic")
+    others = tuple(c for c in COLUMNS if c not in ("doc_id", "text"))
+    return toxicity.score(docs, model, "doc_id", "text", keep=others, keep_text=True).filter("score < 0.5").select(*COLUMNS)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of linked fingerprints, and each row once. Rows without an id pass."""
+    named = docs.filter("doc_id IS NOT NULL")
+    groups = simhash.near_duplicates(named, "doc_id", "text")
+    kept = groups.select(F.col("component_id").alias("keep_id")).distinct()
+    stays = named.join(kept, F.col("doc_id") == F.col("keep_id"), "left_semi").withColumn("th", F.xxhash64("text"))
+    return stays.dropDuplicates(["doc_id", "th"]).select(*COLUMNS).union(docs.filter("doc_id IS NULL").select(*COLUMNS))
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without any benchmark window."""
+    found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"), with_key=True)
+    dirty = decontaminate.small(cut(found.filter("contaminated").select(F.col("doc_id").alias("dirty_id"), F.col("th").alias("dirty_th")).distinct()))
+    return docs.join(dirty, F.col("doc_id").eqNullSafe(F.col("dirty_id")) & (F.xxhash64("text") == F.col("dirty_th")), "left_anti").select(*COLUMNS)
+
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The token ids of every document that is left."""
     return bpe.encode_column(docs, "doc_id", "text", byte_bpe_path())
 
 
-STAGES = [("encode", encode)]
+STAGES = [("toxicity", drop_toxic), ("near_dedup", drop_near_duplicates), ("decontaminate", drop_contaminated), ("encode", encode)]
 
 #: The stages' models and hashes have no SQL form.
 ORACLE_SQL = None

@@ -110,8 +110,8 @@ def verified(docs: DataFrame, found: DataFrame) -> DataFrame:
     return ready.select("id", "th", hits.alias("hits")).filter(F.size("hits") > 0)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
-    """n_words, n_hit, n_items, items_sha256 and contaminated of every row of docs."""
+def decontaminate(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", item_text: str = "text", window: int = WINDOW, with_key: bool = False) -> DataFrame:
+    """n_words, n_hit, n_items, items_sha256 and contaminated of every row of docs; with_key adds th, its text's XXH64."""
     wins = cut(windows(benchmark, item_column, item_text, window))
     vocabulary = wins.select(F.explode("win").alias("term")).distinct()
     counts = cut(term_counts(docs, text_column, cut(vocabulary)))
@@ -128,7 +128,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_i
     names = F.coalesce("items", F.array().cast("array<string>"))
     return joined.select(
         F.col("id").alias(id_column), "n_words", F.coalesce("n_hit", F.lit(0)).cast("bigint").alias("n_hit"), F.size(names).cast("bigint").alias("n_items"),
-        F.sha2(F.array_join(names, ","), 256).alias("items_sha256"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
+        F.sha2(F.array_join(names, ","), 256).alias("items_sha256"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"), *["th"] * with_key,
     )
 
 

@@ -159,12 +159,12 @@ def _logistic(column: np.ndarray, sizes: np.ndarray, label: np.ndarray, ratio: n
     return w / scale, float(bias)
 
 
-def score(docs: DataFrame, model: Model, id_column: str, text_column: str, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(id, score, kept columns) of every row."""
+def score(docs: DataFrame, model: Model, id_column: str, text_column: str, keep: tuple[str, ...] = (), keep_text: bool = False) -> DataFrame:
+    """(id, score, kept columns[, text]) of every row."""
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2**BITS weights, whatever the input
     chosen = docs.select(id_column, text_column, *keep)
-    fields = [docs.schema[c] for c in (id_column, *keep)]
+    fields = [docs.schema[c] for c in (id_column, *keep, *[text_column] * keep_text)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
@@ -173,6 +173,6 @@ def score(docs: DataFrame, model: Model, id_column: str, text_column: str, keep:
             for lo, hi in runs(np.diff(offsets), 1 << 21):
                 s = model.scores(flat[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
                 part = batch.slice(lo, hi - lo)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(s), *part.columns[2:]], names=[id_column, "score", *keep])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(s), *part.columns[2:], *[part.column(1)] * keep_text], names=[id_column, "score", *keep, *[text_column] * keep_text])
 
     return chosen.mapInArrow(run, ", ".join([f"`{fields[0].name}` {fields[0].dataType.simpleString()}", "score double", *(f"`{f.name}` {f.dataType.simpleString()}" for f in fields[1:])]))
