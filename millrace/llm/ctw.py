@@ -34,10 +34,10 @@ from millrace.llm.common import cut, runs, scratch_path, ship
 
 DEPTH = 5
 END = b"\n"
-HEAVY = 100_000
+HEAVY = 1_000_000
 PART_GRAMS = 6_000_000
-#: Bytes of text that are turned into grams at once, and words that a task counts before it passes them on.
-CHUNK, TABLE_WORDS = 1 << 20, 400_000
+#: Bytes of text that are turned into grams at once; words and grams that a task gathers before it passes counts on.
+CHUNK, TABLE_WORDS, TABLE_GRAMS = 1 << 20, 400_000, 2_000_000
 LN10 = math.log(10)
 
 
@@ -157,19 +157,39 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def merged(keys: list[np.ndarray], n: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """One sorted run, equal keys' counts added up, of several sorted runs."""
+    key, count = np.concatenate([np.empty(0, np.uint64), *keys]), np.concatenate([np.empty(0, np.int64), *n])
+    order = np.argsort(key, kind="stable")
+    distinct, size = run_lengths(key[order])
+    return distinct, np.add.reduceat(count[order], np.cumsum(size) - size) if len(distinct) else count
+
+
 def gram_counts(rows: DataFrame) -> DataFrame:
     """(gram, n) of all texts: n counts training only, so grams of held-out texts alone have 0. rows: held_out, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, counts = [], []
         for batch in batches:
             held = batch.column(0).to_numpy(zero_copy_only=False).astype(bool)
-            streams = [b" ".join(words(x)) + END for x in batch.column(1).to_pylist()]
-            for lo, hi in runs(np.array([len(x) for x in streams], np.int64), 8 * CHUNK):
-                key, owner = grams(streams[lo:hi])
+            text = batch.column(1).to_pylist()
+            for lo, hi in runs(np.array([len(x or "") for x in text], np.int64), CHUNK):
+                key, owner = grams([b" ".join(words(x)) + END for x in text[lo:hi]])
                 out = held[lo:hi][owner]
                 learnt, n = run_lengths(np.sort(key[~out]))
                 other, _ = run_lengths(np.sort(key[out]))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([learnt, other]).astype(np.int64)), pa.array(np.concatenate([n, np.zeros(len(other), np.int64)]))], names=["gram", "n"])
+                keys += [learnt, other]
+                counts += [n, np.zeros(len(other), np.int64)]
+                if sum(map(len, keys)) > TABLE_GRAMS:
+                    key, n = merged(keys, counts)
+                    keys, counts = [key], [n]
+                    if len(key) > TABLE_GRAMS // 2:
+                        yield _counted(key, n)
+                        keys, counts = [], []
+        yield _counted(*merged(keys, counts))
+
+    def _counted(key: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64)), pa.array(n)], names=["gram", "n"])
 
     return rows.mapInArrow(run, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
 
