@@ -32,7 +32,7 @@ LATIN = r"A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
 SIMPLE_WORDS = rf"'(?:s|t|re|ve|m|ll|d)| ?[{LATIN}]+| ?[0-9]+| ?[^\t-\r {LATIN}0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+"
 ODD = rf"[^\x00-\x7f{LATIN}]"
 #: Words that the memo holds before it starts anew.
-MEMO_WORDS = 250_000
+MEMO_WORDS = 200_000
 NO_RANK = np.iinfo(np.int32).max
 
 
@@ -198,7 +198,7 @@ def vocabulary(path: str) -> ByteBPE:
     return ByteBPE(path)
 
 
-def encoded(values: list[str], bpe: ByteBPE, chunk_chars: int = 1 << 21) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def encoded(values: list[str], bpe: ByteBPE, chunk_chars: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, row after the last, ids, counts) of bounded runs of rows."""
     for lo, hi in runs(np.array([len(x) for x in values], np.int64), chunk_chars):
         yield lo, hi, *bpe.encode(values[lo:hi])

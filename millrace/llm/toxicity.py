@@ -29,6 +29,8 @@ MOST_TEXTS = 8000
 #: Features with the largest |ratio| * sqrt(document frequency) that get a weight.
 SELECTED = 8192
 LEAST_FREQUENCY, STEPS, L2 = 5, 200, 1e-4
+#: Bytes of text that are turned into features at once.
+CHUNK = 1 << 19
 _NORMAL = np.array([b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else b + 32 if 0x41 <= b <= 0x5A else 32 for b in range(256)], np.uint8)
 
 
@@ -102,7 +104,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str, text_column: str, la
         for batch in batches:
             label = batch.column(0).to_numpy().astype(np.int64)
             flat, offsets = byte_texts(batch.column(1))
-            for lo, hi in runs(np.diff(offsets), 1 << 21):
+            for lo, hi in runs(np.diff(offsets), CHUNK):
                 document, feature = features(flat[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
                 for c in (0, 1):
                     total[c] += np.bincount(feature[label[lo:hi][document] == c], minlength=1 << BITS).astype(np.int32)
@@ -123,7 +125,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str, text_column: str, la
         index = shared.value
         for batch in batches:
             flat, offsets = byte_texts(batch.column(1))
-            for lo, hi in runs(np.diff(offsets), 1 << 21):
+            for lo, hi in runs(np.diff(offsets), CHUNK):
                 document, feature = features(flat[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], index >= 0)
                 at = np.searchsorted(document, np.arange(hi - lo + 1))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(index[feature], pa.int32()))], names=["label", "own"])
@@ -170,7 +172,7 @@ def score(docs: DataFrame, model: Model, id_column: str, text_column: str, keep:
         model = shared.value
         for batch in batches:
             flat, offsets = byte_texts(batch.column(1))
-            for lo, hi in runs(np.diff(offsets), 1 << 21):
+            for lo, hi in runs(np.diff(offsets), CHUNK):
                 s = model.scores(flat[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
                 part = batch.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(s), *part.columns[2:], *[part.column(1)] * keep_text], names=[id_column, "score", *keep, *[text_column] * keep_text])
