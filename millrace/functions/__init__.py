@@ -1 +1 @@
-
+"""Column builders: vectors and character codes."""

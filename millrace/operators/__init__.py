@@ -1 +1 @@
-
+"""Graph, model and aggregation operators over DataFrames."""

@@ -1 +1 @@
-
+"""Iterative drivers, registered queries and the command line."""

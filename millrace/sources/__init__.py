@@ -1 +1 @@
-
+"""Readers, writers and deterministic generators."""

@@ -1 +1 @@
-
+"""Reserved: the engine's operators are batch operators; no streaming operator is claimed."""
