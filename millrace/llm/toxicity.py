@@ -22,13 +22,13 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import byte_texts, cut, runs, ship
 
-ORDERS = (4, 5, 6)
+ORDERS = (4, 6, 8)
 BITS = 20
 #: Labelled rows of each class that training reads at most.
 MOST_TEXTS = 8000
 #: Features with the largest |ratio| * sqrt(document frequency) that get a weight.
-SELECTED = 8192
-LEAST_FREQUENCY, STEPS, L2 = 5, 200, 1e-4
+SELECTED = 1024
+LEAST_FREQUENCY, STEPS, L2 = 5, 200, 1e-3
 #: Bytes of text that are turned into features at once.
 CHUNK = 1 << 19
 _NORMAL = np.array([b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else b + 32 if 0x41 <= b <= 0x5A else 32 for b in range(256)], np.uint8)
