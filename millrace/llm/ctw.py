@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import cut, runs, scratch_path, ship
+from millrace.llm.common import cut, runs, scratch_path, ship, slices
 
 DEPTH = 5
 END = b"\n"
@@ -170,7 +170,7 @@ def gram_counts(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts = [], []
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1)):
             held = batch.column(0).to_numpy(zero_copy_only=False).astype(bool)
             text = batch.column(1).to_pylist()
             for lo, hi in runs(np.array([len(x or "") for x in text], np.int64), CHUNK):
@@ -250,7 +250,7 @@ def word_counts(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter[bytes] = Counter()
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 0)):
             for text in batch.column(0).to_pylist():
                 total.update(words(text))
                 total[END] += 1
@@ -286,6 +286,8 @@ def score(docs: DataFrame, id_column: str, text_column: str, held: Column, part_
         shared = spark.sparkContext.broadcast((keys[order], values[order], known if part == 0 else None))
         del table, keys, values, order
         each = docs.select(F.col(id_column).alias("id"), held.alias("held_out"), F.col(text_column).alias("text")).mapInArrow(_pass(shared, id_column), f"uid bigint, token string, k bigint, head struct<id: {kind}, held_out: boolean, n_tokens: bigint, n_known: bigint, base: double, score: double>")
+        if parts > 1:  # a job of its own: in a union, the tasks of later passes would have other partition numbers
+            each = stored(each, "pass")
         out = each if out is None else out.union(each)
     # rows with a text's own figures have a token that no text has, so each meets nothing, wherever it is dealt
     met = out.join(counts, "token", "left")
@@ -311,7 +313,7 @@ def _pass(shared, id_column: str):
         keys, values, known = shared.value
         uid = TaskContext.get().partitionId() << 40
         head_type = None
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 2)):
             if head_type is None:
                 head_type = pa.struct([("id", batch.column(0).type), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())])
             text = batch.column(2).to_pylist()
