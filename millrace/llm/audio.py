@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from millrace.llm.common import ship
+from millrace.llm.common import ship, slices
 
 PAD_TO = 192
 SAMPLE_RATE, TARGET_RATE = 16_000, 8_000
@@ -163,7 +163,7 @@ def store(df: DataFrame, id_column: str, text_column: str) -> DataFrame:
     kind = df.schema[id_column].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1)):
             media = [wav(padded((x or "").encode("utf-8", "replace"))) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(media, pa.large_binary())], names=[id_column, "media"])
 
@@ -206,7 +206,7 @@ def digests(df: DataFrame, id_column: str, text_column: str) -> DataFrame:
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1)):
             rows = [one((x or "").encode("utf-8", "replace")) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds))], names=names)
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from millrace.llm.common import ragged, runs, ship, texts
+from millrace.llm.common import ragged, runs, ship, slices, texts
 
 #: Fixed value: the pre-token pattern of the byte-level vocabulary; \s stands for Unicode White_Space.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
@@ -210,7 +210,7 @@ def encode_column(df: DataFrame, id_column: str, text_column: str, path: str) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = vocabulary(path)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1)):
             for lo, hi, ids, counts in encoded(texts(batch.column(1)), bpe):
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(ids, pa.int32()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), lists], names=[id_column, "ids"])
@@ -241,7 +241,7 @@ def digest_column(df: DataFrame, id_column: str, text_column: str, path: str) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = vocabulary(path)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1)):
             for lo, hi, ids, counts in encoded(texts(batch.column(1)), bpe):
                 sha = [hashlib.sha256(x).hexdigest() for x in bpe.decimals(ids, counts)]
                 back = [hashlib.sha256(x.encode("utf-8")).hexdigest() for x in bpe.decode(ids, counts)]

@@ -52,6 +52,13 @@ def runs(sizes: np.ndarray, most: int, most_rows: int = 1 << 14) -> Iterator[tup
         yield start, len(sizes)
 
 
+def slices(batch: pa.RecordBatch, column: int, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """The batch in pieces of at most `most` bytes of that column, so that few of its values are Python objects at once."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    for lo, hi in runs(sizes, most):
+        yield batch.slice(lo, hi - lo)
+
+
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Indices start, start + 1, ... of each of many ranges, end to end."""
     total = int(lengths.sum())

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.bpe import encoded, vocabulary
-from millrace.llm.common import cut, scratch_path, ship, texts
+from millrace.llm.common import cut, scratch_path, ship, slices, texts
 from millrace.llm.storage import create, filesystem
 
 BLOCK, PERCENTILE, MAGIC = 4096, 95.0, b"PFORIDS1"
@@ -161,7 +161,7 @@ def write_ids(docs: DataFrame, id_column: str, text_column: str, vocabulary_path
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, file, docs_in, ids_in = vocabulary(vocabulary_path), None, 0, 0
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1)):
             doc_ids = batch.column(0).to_pylist()
             for lo, hi, ids, counts in encoded(texts(batch.column(1)), bpe):
                 if file is None:

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import cut, ship
+from millrace.llm.common import cut, ship, slices
 from millrace.llm.components import components
 
 BITS, RADIUS, SHINGLE, SEED = 64, 3, 3, 42
@@ -51,7 +51,7 @@ def fingerprints(df: DataFrame, id_column: str, text_column: str) -> DataFrame:
     kind = df.schema[id_column].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1)):
             fp = np.array([fingerprint(x) for x in batch.column(1).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp)], names=[id_column, "fp"])
 
