@@ -21,8 +21,8 @@ def trade_totals(trades: DataFrame, wrap: bool = False) -> DataFrame:
     out = trades.agg(total(F.col("side") == "B").alias("buy_cost"), total(~F.coalesce(F.col("side") == "B", F.lit(False))).alias("sell_cost"))
     if not wrap:
         return out
-    m = F.lit(1 << 64).cast("decimal(38,0)")
-    half = F.lit(1 << 63).cast("decimal(38,0)")
+    m = F.lit(str(1 << 64)).cast("decimal(38,0)")
+    half = F.lit(str(1 << 63)).cast("decimal(38,0)")
     low = lambda c: F.pmod(F.col(c), m)
     return out.select(*(F.when(low(c) >= half, low(c) - m).otherwise(low(c)).cast("bigint").alias(c) for c in ("buy_cost", "sell_cost")))
 
