@@ -15,6 +15,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -58,7 +59,7 @@ def notice(text: str, label: str, chars_per_edit: int = CHARS_PER_EDIT, most_edi
     k = min(len(raw) // chars_per_edit, most_edits)
     cuts = [len(raw) * i // (k + 1) for i in range(k + 2)]
     seeds = tuple((raw[a:b], a) for a, b in zip(cuts[:-1], cuts[1:], strict=True))
-    return Notice(raw, label, k, seeds, regex.compile(rb"(?b)(?:" + regex.escape(raw, literal_spaces=True) + rb"){e<=%d}" % k))
+    return Notice(raw, label, k, seeds, regex.compile(rb"(?e)(?:" + regex.escape(raw, literal_spaces=True) + rb"){e<=%d}" % k))
 
 
 @lru_cache(maxsize=4)
@@ -79,6 +80,14 @@ def places(body: bytes, phrase: bytes) -> list[int]:
     return found
 
 
+def word_numbers(body: bytes, offsets: list[int]) -> list[int]:
+    """The word of a normal form that stands at, or begins behind, each offset; one pass over the text for all of them."""
+    if not offsets:
+        return []
+    spaces = np.flatnonzero(np.frombuffer(body, np.uint8)[1:] == 32) + 1
+    return np.searchsorted(spaces, offsets, side="right").tolist()
+
+
 def windows(body: bytes, n: Notice) -> list[tuple[int, int]]:
     """Disjoint ranges that hold all occurrences within the edits: around each seed, merged where they touch."""
     spans = []
@@ -112,15 +121,13 @@ def scan(df: DataFrame, id_column: str, text_column: str, phrases: tuple[tuple[s
 
     def one(text: str | None) -> tuple:
         body = normal_form(text)
-        word_at = lambda offset: body.count(b" ", 1, offset + 1)
-        base = [(word_at(at), label) for phrase, label in phrases for at in places(body, phrase.encode())]
-        best, spans = 1.0 if base else 0.0, []
-        for n in notices(table):
-            for start, end, edits in fuzzy(body, n):
-                best = max(best, 1 - edits / len(n.text))
-                spans.append({"label": n.label, "first_word": word_at(start), "last_word": word_at(end - 1), "edits": edits})
+        base = [(at, label) for phrase, label in phrases for at in places(body, phrase.encode())]
+        found = [(start, end, edits, n) for n in notices(table) for start, end, edits in fuzzy(body, n)]
+        best = max([1 - edits / len(n.text) for *_, edits, n in found] + [1.0 if base else 0.0])
+        firsts, lasts = word_numbers(body, [x[0] for x in found]), word_numbers(body, [x[1] - 1 for x in found])
+        spans = [{"label": n.label, "first_word": a, "last_word": b, "edits": edits} for a, b, (*_, edits, n) in zip(firsts, lasts, found, strict=True)]
         base_labels = sorted({x for _, x in base})
-        starts = [x for x, _ in base]
+        starts = word_numbers(body, [x for x, _ in base])
         labels = sorted({*base_labels, *(x["label"] for x in spans)})
         return body.count(b" ") - 1 if len(body) > 2 else 0, len(base), min(starts, default=None), max(starts, default=None), ",".join(base_labels), ",".join(labels), best, spans
 

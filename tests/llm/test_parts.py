@@ -257,6 +257,19 @@ def test_license_spans(spark):
     assert got[2]["score"] == 0 and got[2]["labels"] == ""
 
 
+def test_a_better_notice_behind_a_worse_one_hides_no_span():
+    n = licenses.notice("released under the mit license", "mit")
+    body = licenses.normal_form("relaesed under the mit license released under the mit license releasd under the mit license")
+    assert [x[2] for x in licenses.fuzzy(body, n)] == [2, 0, 1]
+    assert licenses.word_numbers(body, [x[0] for x in licenses.fuzzy(body, n)]) == [0, 5, 10]
+
+
+def test_word_numbers_of_many_places():
+    body = licenses.normal_form(" ".join(random.Random(2).choice(("mit license", "a", "bcd")) for _ in range(300)))
+    at = licenses.places(body, b"mit license")
+    assert licenses.word_numbers(body, at) == [len(body[1:x].split()) for x in at] and licenses.word_numbers(body, []) == []
+
+
 def test_resampling_is_the_direct_convolution():
     x = np.random.default_rng(0).normal(size=700).astype(np.float32)
     for up, down in ((1, 2), (3, 2), (2, 3), (147, 160)):
