@@ -7,7 +7,8 @@ MOST_TEXTS rows of each class, those whose ids hash lowest; scores use the text
 
 Defined results: null and empty texts have no features and get the score of the bias; labels that are null, or
 of documents that don't exist, teach nothing; without both classes every score is the share of label 1 (0 if
-nothing is labelled); repeated labels count as often as they stand.
+nothing is labelled); repeated labels count as often as they stand; of documents that share an id, the one whose
+text sorts first is learnt from.
 """
 
 from __future__ import annotations
@@ -97,7 +98,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str, text_column: str, la
         part = known.filter(F.col("label") == label).orderBy(F.xxhash64("id"), "id").limit(most_texts)
         sample = part if sample is None else sample.union(part)
     texts = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
-    rows = cut(texts.join(F.broadcast(sample), "id").select("label", "text"))  # at most 2 * most_texts small rows
+    times = sample.groupBy("id", "label").agg(F.count("*").cast("int").alias("times"))
+    # one text an id, combined before the shuffle: however often an id repeats, there are 2 * most_texts rows at most
+    once = texts.join(F.broadcast(times), "id").groupBy("id", "label", "times").agg(F.min("text").alias("text"))
+    rows = cut(once.select("label", "text", F.explode(F.array_repeat(F.lit(0), F.col("times")))).select("label", "text"))
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, 1 << BITS), np.int32)

@@ -314,6 +314,16 @@ def test_toxicity_learns(spark):
     assert got[1000] == got[1001] < 0.5
 
 
+def test_toxicity_learns_an_id_once_however_often_it_repeats(spark):
+    docs = [(i, f"good words {i} stand here") for i in range(0, 60, 2)] + [(i, f"zoggle horrible {i}") for i in range(1, 60, 2)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id bigint, toxic int")
+    once = toxicity.fit(spark.createDataFrame(docs, "doc_id bigint, text string"), labels, "doc_id", "text", "toxic")
+    again = toxicity.fit(spark.createDataFrame(docs + [docs[3]] * 500 + [(2, "zzz sorts last")] * 500, "doc_id bigint, text string"), labels, "doc_id", "text", "toxic")
+    assert np.allclose(once.weights, again.weights) and once.bias == pytest.approx(again.bias)
+    twice = toxicity.fit(spark.createDataFrame(docs, "doc_id bigint, text string"), labels.union(labels.filter("toxic = 1")), "doc_id", "text", "toxic")
+    assert twice.bias != pytest.approx(once.bias)
+
+
 def test_features_of_a_text_do_not_depend_on_its_neighbours():
     texts = ["Hello, world!!", "", "é stupid\n", "  x  y zzz", "tail", "a", "ab cd   ef."]
     raw = [t.encode() for t in texts]
