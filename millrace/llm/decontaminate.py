@@ -44,7 +44,11 @@ def windows(benchmark: DataFrame, id_column: str, text_column: str, window: int
 
 def term_counts(docs: DataFrame, text_column: str, vocabulary: DataFrame) -> DataFrame:
     """(term, n): how often the corpus has each term of the vocabulary; terms that it lacks are absent."""
-    return docs.select(F.explode(words(F.col(text_column))).alias("term")).join(small(vocabulary), "term").groupBy("term").agg(F.count("*").alias("n"))
+    terms, few = docs.select(F.explode(words(F.col(text_column))).alias("term")), small(vocabulary)
+    if few is not vocabulary:
+        return terms.join(few, "term").groupBy("term").agg(F.count("*").alias("n"))
+    # a shuffled join comes behind the counting, so that a frequent term is one row of it
+    return terms.groupBy("term").agg(F.count("*").alias("n")).join(vocabulary, "term")
 
 
 def keyed(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:

@@ -54,6 +54,14 @@ def test_proximity(spark):
     assert got == {("q", 1, 5), ("q", 3, 0), ("one", 1, 3), ("one", 2, 7), ("one", 3, 1)}
 
 
+def test_decontamination_without_broadcasts(spark, folder, docs, monkeypatch):
+    from conftest import ITEMS
+
+    monkeypatch.setattr(decontaminate, "small", lambda df, most=0: df)
+    got = decontaminate.decontaminate(spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/benchmark.parquet"))
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(brute.contaminated(docs, ITEMS), key=repr)
+
+
 def test_warc_chain_rejects_magic_in_payloads(spark, monkeypatch):
     monkeypatch.setattr(warc, "LEVEL", 0)  # payloads stand in the archive as they are
     inner = b"".join(warc.page_member(900 + i, "http://x/", b"inner %d" % i * 40, None, False) for i in range(6))
