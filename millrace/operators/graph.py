@@ -2,7 +2,8 @@
 
 PageRank works on distinct edges with weights (parallel edges / out-degree), partitioned by source once and
 cached; an iteration joins the ranks to them and sums by target, so one shuffle of contributions, combined
-before it, is all that an iteration costs. No adjacency list is built, so a hub is many rows and not one.
+before it, is all that an iteration costs. No adjacency list is built, so a hub is many rows and not one; the
+rows of a source with more than HUB edges are spread over several partitions, and its rank is sent to each.
 """
 
 from __future__ import annotations
@@ -12,8 +13,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.plans.iterate import iterate
+from millrace.runtime import cut
 
 DAMPING, BASE = 0.85, 0.15
+#: Edges of a source up to which they stay in one partition, and hubs that are broadcast at most.
+HUB, BROADCAST_ROWS = 1_000_000, 200_000
 
 
 def adjacency(edges: DataFrame) -> DataFrame:
@@ -44,7 +48,12 @@ def weighted(edges: DataFrame) -> DataFrame:
     return distinct.join(out_degree(edges), "src").select("src", "dst", (F.col("n") / F.col("out_degree")).alias("share"))
 
 
-def pagerank(edges: DataFrame, iterations: int, form: str = "damped", single: bool = False, level: StorageLevel = StorageLevel.MEMORY_AND_DISK, checkpoint_every: int = 5) -> DataFrame:
+def hubs(edges: DataFrame, hub: int = HUB) -> DataFrame:
+    """(hub_id, salts): sources with more than `hub` edges, and over how many partitions theirs are spread."""
+    return edges.groupBy(F.col("src").alias("hub_id")).agg(F.ceil(F.count("*") / hub).cast("int").alias("salts")).filter("salts > 1")
+
+
+def pagerank(edges: DataFrame, iterations: int, form: str = "damped", single: bool = False, level: StorageLevel = StorageLevel.MEMORY_AND_DISK, checkpoint_every: int = 5, hub: int = HUB) -> DataFrame:
     """(id, rank) after the iterations, starting with 1.0 for every source.
 
     damped: rank = BASE + DAMPING * contributions. raw: rank is the sum of contributions, damped when it is read.
@@ -56,12 +65,23 @@ def pagerank(edges: DataFrame, iterations: int, form: str = "damped", single: bo
     if iterations < 0:
         raise ValueError("iterations must not be negative")
     kind = "float" if single else "double"
-    links = weighted(edges).repartition("src").persist(level)
+    links, large = weighted(edges), hubs(edges, hub)
+    if salted := not large.isEmpty():
+        large = cut(large)
+        large = F.broadcast(large) if large.count() <= BROADCAST_ROWS else large
+        salt = F.coalesce(F.pmod(F.xxhash64("dst"), F.col("salts")), F.lit(0)).cast("int")
+        links = links.join(large, F.col("src") == F.col("hub_id"), "left").select("src", "dst", "share", salt.alias("salt"))
+    links = links.repartition("src", *["salt"] * salted).persist(level)
     ranks = edges.select(F.col("src").alias("id")).distinct().withColumn("rank", F.lit(1.0).cast(kind))
 
     def step(ranks: DataFrame, k: int) -> DataFrame:
         read = F.col("rank") if form == "damped" or k == 0 else F.col("rank") * DAMPING + BASE
-        sums = links.join(ranks, links["src"] == ranks["id"]).select(F.col("dst").alias("id"), (read * F.col("share")).cast(kind).alias("c")).groupBy("id").agg(F.sum("c").alias("s"))
+        on = links["src"] == ranks["id"]
+        if salted:
+            each = F.sequence(F.lit(0), F.coalesce(F.col("salts"), F.lit(1)) - 1)
+            ranks = ranks.join(large, F.col("id") == F.col("hub_id"), "left").select("id", "rank", F.explode(each).alias("at"))
+            on = (F.col("src") == F.col("id")) & (F.col("salt") == F.col("at"))
+        sums = links.join(ranks, on).select(F.col("dst").alias("id"), (read * F.col("share")).cast(kind).alias("c")).groupBy("id").agg(F.sum("c").alias("s"))
         return sums.select("id", (F.col("s") * DAMPING + BASE if form == "damped" else F.col("s")).cast(kind).alias("rank"))
 
     return iterate(ranks, step, iterations, checkpoint_every)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.codes import pack_code
 from millrace.operators import aggregates, graph, kmeans, logreg
+from millrace.runtime import scratch_path
 from millrace.sources import generators, text
 
 DIM, CLUSTERS = 64, 4
@@ -163,10 +164,51 @@ def take_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aggregates.take_sample(_table(spark, sf_dir, "embeddings").select("vec_id", "label"), 20, 42, "vec_id")
 
 
+def trade_totals_wrapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals beyond 64 bits, as integers that overflow silently hold them."""
+    trades = _table(spark, sf_dir, "lineitem").select((F.col("l_partkey") * 10**12).alias("price"), (F.col("l_quantity").cast("bigint") * 1000).alias("quantity"), F.when(F.col("l_linestatus") == "O", "B").otherwise("S").alias("side"))
+    return aggregates.trade_totals(trades, wrap=True)
+
+
+def edge_text_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges in both directions, written as lines to the shared folder and read from there."""
+    path = scratch_path(spark, "edges")
+    text.write_edges(graph.symmetric_distinct(part_supplier_edges(spark, sf_dir)), path)
+    return text.edges(text.lines(spark, path))
+
+
+def pair_text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts as lines (token,n)."""
+    path = scratch_path(spark, "pairs")
+    text.write_pairs(int_count(spark, sf_dir), path, "token", "n")
+    return text.lines(spark, path)
+
+
+def points_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled points, stored and read with a check of their dimension."""
+    path = scratch_path(spark, "points")
+    text.write_points(labelled_vectors(spark, sf_dir), path)
+    read = text.points(spark, path, DIM).select("id", F.posexplode("x").alias("j", "v"), "y")
+    return read.select("id", F.col("j").cast("bigint").alias("j"), F.round("v", 6).alias("v"), "y")
+
+
+def gen_points_seeded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return generators.seeded_points(spark, 1000, 4)[1].select("id", F.posexplode("x").alias("j", "v"), "y")
+
+
+def gen_points_blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return generators.blob_points(spark, 1000, 8, 4).select("id", F.posexplode("x").alias("j", "v"), "y")
+
+
+def random_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text.random_labels(_table(spark, sf_dir, "embeddings").select("vec_id"), 42)
+
+
 QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     pagerank_transitions, pagerank_parts, pagerank_raw, pagerank_float, adjacency_lists, out_degree, graph_stats, edges_symmetric_distinct, int_count, token_count,
     edge_text_parse, vector_text_parse, trade_totals, lr_embeddings, lr_deterministic, lr_gradient, lr_predict_margin, kmeans_embeddings, kmeans_assign, kmeans_delta,
-    upsert_latest, gen_trades, gen_points_det, pack_codes, take_sample,
+    upsert_latest, gen_trades, gen_points_det, pack_codes, take_sample, trade_totals_wrapped, edge_text_round_trip, pair_text_lines, points_round_trip,
+    gen_points_seeded, gen_points_blobs, random_labels,
 )
 
 
@@ -209,6 +251,9 @@ def _kmeans_ctes(rounds: int) -> list[str]:
     return ctes
 
 
+_LOW = "((({0}) % 18446744073709551616::HUGEINT + 18446744073709551616::HUGEINT) % 18446744073709551616::HUGEINT)"
+_WRAP = "(CASE WHEN {0} >= 9223372036854775808::HUGEINT THEN {0} - 18446744073709551616::HUGEINT ELSE {0} END)::BIGINT"
+_COST = "sum(CASE WHEN l_linestatus {0} 'O' THEN l_partkey::HUGEINT * 1000000000000 * l_quantity::BIGINT * 1000 ELSE 0 END)::HUGEINT"
 _START = f"SELECT j, 0.01e0 * j - 0.3e0 AS w FROM range({DIM}) t(j)"
 _DET_POINTS = "SELECT i AS id, j, i * 0.000013e0 + j * 0.00079e0 + (i % 2) * 0.00007e0 AS v, (i % 2)::DOUBLE AS y FROM range({n}) a(i), range({dim}) b(j)"
 
@@ -236,6 +281,10 @@ ORACLE_SQL = {
     "upsert_latest": "SELECT user_id, arg_max(value, event_id) FILTER (WHERE event_id % 3 <> 0) AS value, arg_max(event_type, event_id) FILTER (WHERE event_id % 2 = 0) AS event_type FROM events GROUP BY user_id",
     "gen_trades": "SELECT i AS trade_id, 1::BIGINT AS client_id, 1481396046 AS venue_code, 1112035328 AS instrument_code, i AS price, i AS quantity, CASE WHEN i % 2 = 0 THEN 'B' ELSE 'S' END AS side FROM range(100000) t(i)",
     "gen_points_det": f"SELECT id, j, round(v, 9) AS v, y FROM ({_DET_POINTS.format(n=1000, dim=4)})",
+    "trade_totals_wrapped": f"SELECT {_WRAP.format(_LOW.format('b'))} AS buy_cost, {_WRAP.format(_LOW.format('s'))} AS sell_cost FROM (SELECT {_COST.format('=')} AS b, {_COST.format('<>')} AS s FROM lineitem)",
+    "edge_text_round_trip": f"WITH e AS ({_PARTS}) SELECT src, dst FROM e UNION SELECT dst, src FROM e",
+    "pair_text_lines": "SELECT '(' || l_quantity::INTEGER || ',' || count(*) || ')' AS value FROM lineitem GROUP BY l_quantity::INTEGER",
+    "points_round_trip": f"SELECT id, j::BIGINT AS j, round(v, 6) AS v, y FROM ({_VECTORS})",
     "pack_codes": f"SELECT n_nationkey, code, {_PACK.format('code')} AS packed FROM (SELECT n_nationkey, substr(n_name, 1, 4) AS code FROM nation)",
 }
 

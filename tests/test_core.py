@@ -59,6 +59,15 @@ def test_pagerank_counts_parallel_edges_and_ignores_order(spark):
     assert a == pytest.approx(now, abs=1e-12)
 
 
+def test_pagerank_spreads_hubs(spark):
+    pairs = [(1, i) for i in range(2, 60)] + [(i, 1) for i in range(2, 60, 3)] + [(1, 5)] * 9 + [(7, 8), (8, 7)]
+    edges = spark.createDataFrame(pairs, "src int, dst int")
+    assert [tuple(r) for r in graph.hubs(edges, 10).collect()] == [(1, 7)]
+    for form in ("damped", "raw"):
+        want = ranks(graph.pagerank(edges, 4, form=form))
+        assert ranks(graph.pagerank(edges, 4, form=form, hub=10, checkpoint_every=2)) == pytest.approx(want, abs=1e-12)
+
+
 def test_edges_symmetric_distinct(spark, edges):
     want = {(2, 4), (4, 2), (7, 8), (8, 7), (3, 12), (12, 3), (7, 12), (12, 7)}
     once = graph.symmetric_distinct(edges)
