@@ -31,9 +31,9 @@ def out_degree(edges: DataFrame) -> DataFrame:
 
 def stats(edges: DataFrame) -> DataFrame:
     """One row: edges, distinct sources, distinct ids, and edges plus sources (cells of the adjacency)."""
-    ids = edges.select("src", F.explode(F.array("src", "dst")).alias("id"))
-    counted = edges.agg(F.count("*").alias("edges"), F.count_distinct("src").alias("sources"))
-    return counted.crossJoin(ids.agg(F.count_distinct("id").alias("ids"))).select("edges", "sources", "ids", (F.col("edges") + F.col("sources")).alias("cells"))
+    ends = F.explode(F.array(F.struct(F.col("src").alias("id"), F.lit(True).alias("source")), F.struct(F.col("dst").alias("id"), F.lit(False).alias("source")))).alias("e")
+    counted = edges.select(ends).select("e.*").agg(F.count_if("source").alias("edges"), F.count_distinct(F.when(F.col("source"), F.col("id"))).alias("sources"), F.count_distinct("id").alias("ids"))
+    return counted.select("edges", "sources", "ids", (F.col("edges") + F.col("sources")).alias("cells"))
 
 
 def symmetric_distinct(edges: DataFrame) -> DataFrame:
