@@ -1,8 +1,9 @@
 """Audio columns: 8-bit PCM in WAV, polyphase resampling, log-mel filterbanks and energy segmentation.
 
-A recording is cut by hysteresis: a segment opens when a frame's energy rises above a high threshold and
-closes when it falls below a low one. Each segment becomes tensors of the fixed shape FRAMES x MELS with the
-time span that they cover; the last is padded with the floor value.
+All frames of a recording become tensors of the fixed shape FRAMES x MELS with the time span that they cover;
+the last is padded with the floor value. Hysteresis marks frames: a segment opens when a frame's energy rises
+above a high threshold and closes when it falls below a low one; a mark says that a frame is in a segment, and
+no frame is left out for having none.
 
 Every recording is computed alone and in blocks of a fixed size, so memory is bounded whatever its length
 and equal recordings have equal features to the last bit. A null or empty payload is padded like any other.
@@ -133,23 +134,25 @@ def segments(energy: np.ndarray, rise: float, fall: float) -> np.ndarray:
     return edge.reshape(-1, 2)
 
 
-def features(samples: bytes, rate: int) -> tuple[np.ndarray, np.ndarray]:
-    """(n x FRAMES x MELS float32 tensors, n x 2 spans in milliseconds)."""
+def marked_features(samples: bytes, rate: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(n x FRAMES x MELS float32 tensors, n x 2 spans in milliseconds, n x FRAMES marks of the frames in segments)."""
     x = (np.frombuffer(samples, np.uint8).astype(np.float32) - 128) / 128
     down = rate // TARGET_RATE
     mel, energy = log_mel(resample(x - x.mean() if len(x) else x, 1, down), TARGET_RATE)
-    level = float(energy.mean())
-    tensors, spans = [], []
-    for start, end in segments(energy, level + RISE, level + FALL).tolist():
-        n = -(-(end - start) // FRAMES)
-        block = np.full((n * FRAMES, MELS), FLOOR, np.float32)
-        block[: end - start] = mel[start:end]
-        tensors.append(block.reshape(n, FRAMES, MELS))
-        at = start + FRAMES * np.arange(n)
-        spans.append(np.stack([at * HOP, (np.minimum(at + FRAMES, end) - 1) * HOP + WINDOW], 1) * 1000 // TARGET_RATE)
-    if not tensors:
-        return np.empty((0, FRAMES, MELS), np.float32), np.empty((0, 2), np.int64)
-    return np.concatenate(tensors), np.concatenate(spans)
+    level, end = float(energy.mean()), len(mel)
+    n = -(-end // FRAMES)
+    block, marks = np.full((n * FRAMES, MELS), FLOOR, np.float32), np.zeros(n * FRAMES, bool)
+    block[:end] = mel
+    for first, last in segments(energy, level + RISE, level + FALL).tolist():
+        marks[first:last] = True
+    at = FRAMES * np.arange(n)
+    spans = np.stack([at * HOP, (np.minimum(at + FRAMES, end) - 1) * HOP + WINDOW], 1) * 1000 // TARGET_RATE
+    return block.reshape(n, FRAMES, MELS), spans, marks.reshape(n, FRAMES)
+
+
+def features(samples: bytes, rate: int) -> tuple[np.ndarray, np.ndarray]:
+    """The tensors and spans of marked_features."""
+    return marked_features(samples, rate)[:2]
 
 
 def tensor_array(tensors: np.ndarray) -> pa.FixedShapeTensorArray:
@@ -171,7 +174,7 @@ def store(df: DataFrame, id_column: str, text_column: str) -> DataFrame:
 
 
 def feature_rows(media: DataFrame, id_column: str, media_column: str = "media") -> DataFrame:
-    """(id, segment, start_ms, end_ms, mel): a row per tensor; mel is FRAMES x MELS, flat, of fixed size."""
+    """(id, segment, start_ms, end_ms, mel, marks): a row per tensor, numbered by segment; mel is FRAMES x MELS, flat, of fixed size."""
     ship(media.sparkSession)
     kind = media.schema[id_column].dataType.simpleString()
 
@@ -180,26 +183,26 @@ def feature_rows(media: DataFrame, id_column: str, media_column: str = "media")
             for i, blob in enumerate(batch.column(1)):
                 if not blob.is_valid:
                     continue
-                tensors, spans = features(*read_wav(blob.as_py()))
+                tensors, spans, marks = marked_features(*read_wav(blob.as_py()))
                 index = pa.array(np.full(len(tensors), i, np.int32))
                 flat = tensor_array(tensors).storage
                 mel = pa.ListArray.from_arrays(pa.array(np.arange(len(tensors) + 1) * FRAMES * MELS, pa.int32()), flat.flatten())
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(index), pa.array(np.arange(len(tensors)), pa.int32()), pa.array(spans[:, 0], pa.int64()), pa.array(spans[:, 1], pa.int64()), mel], names=[id_column, "segment", "start_ms", "end_ms", "mel"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(index), pa.array(np.arange(len(tensors)), pa.int32()), pa.array(spans[:, 0], pa.int64()), pa.array(spans[:, 1], pa.int64()), mel, pa.array(marks.tolist(), pa.list_(pa.bool_()))], names=[id_column, "segment", "start_ms", "end_ms", "mel", "marks"])
 
-    return media.select(id_column, media_column).mapInArrow(run, f"`{id_column}` {kind}, segment int, start_ms bigint, end_ms bigint, mel array<float>")
+    return media.select(id_column, media_column).mapInArrow(run, f"`{id_column}` {kind}, segment int, start_ms bigint, end_ms bigint, mel array<float>, marks array<boolean>")
 
 
 def digests(df: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """What the stored form of each text holds when it is read back, and a digest of its tensors and spans."""
+    """What the stored form of each text holds when it is read back, and a digest of its tensors, spans and marks."""
     ship(df.sparkSession)
     kind = df.schema[id_column].dataType.simpleString()
 
     def one(raw: bytes) -> tuple:
         media = wav(padded(raw))
         samples, rate = read_wav(media)
-        tensors, spans = features(samples, rate)
+        tensors, spans, marks = marked_features(samples, rate)
         column = tensor_array(tensors)
-        mark = hashlib.sha256(column.storage.flatten().to_numpy(zero_copy_only=False).tobytes() + spans.astype("<i8").tobytes()).hexdigest()
+        mark = hashlib.sha256(column.storage.flatten().to_numpy(zero_copy_only=False).tobytes() + spans.astype("<i8").tobytes() + marks.tobytes()).hexdigest()
         return len(raw), len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-16:]), len(media), hashlib.sha256(media).hexdigest(), f"{len(tensors)}x{FRAMES}x{MELS}:{mark}"
 
     names = [id_column, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]

@@ -309,6 +309,22 @@ def test_audio_columns(spark):
     assert audio.tensor_array(tensors).to_numpy_ndarray().shape == (len(tensors), audio.FRAMES, audio.MELS)
 
 
+def test_every_audio_frame_is_in_a_tensor(spark):
+    texts = ["one short text", "another short text", "word", "", "a" * 150 + "b" * 200]
+    rows = audio.digests(spark.createDataFrame(list(enumerate(texts)), "id bigint, text string"), "id", "text").collect()
+    assert len({r["feature"] for r in rows}) == len(texts) and all(r["feature"].startswith("1x32x20:") for r in rows)
+    loud, quiet = bytes(i * i % 251 for i in range(19_200)), bytes(127 + i % 2 for i in range(19_200))
+    samples = loud + quiet + loud
+    x = (np.frombuffer(samples, np.uint8).astype(np.float32) - 128) / 128
+    mel, energy = audio.log_mel(audio.resample(x - x.mean(), 1, 2), audio.TARGET_RATE)
+    tensors, spans, marks = audio.marked_features(samples, audio.SAMPLE_RATE)
+    assert np.array_equal(tensors.reshape(-1, audio.MELS)[: len(mel)], mel) and (tensors.reshape(-1, audio.MELS)[len(mel) :] == audio.FLOOR).all()
+    level, flat = energy.mean(), marks.reshape(-1)
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], flat, [0]]).astype(int))).reshape(-1, 2)
+    assert edges.tolist() == audio.segments(energy, level + audio.RISE, level + audio.FALL).tolist() and 0 < flat.sum() < len(mel)
+    assert spans[:, 0].tolist() == [i * audio.FRAMES * audio.HOP // 8 for i in range(len(tensors))]
+
+
 def test_toxicity_learns(spark):
     rng = random.Random(4)
     word = lambda: "".join(rng.choice("abdeginorst") for _ in range(5))
