@@ -2,8 +2,9 @@
 
 A notice that may carry k edits is cut into k + 1 pieces; by the pigeonhole principle every occurrence within
 k edits keeps a piece whole, at most k characters from its place. The pieces are found exactly in each text's
-normal form (A-Z lower-cased words, one space between) and the regex library's bounded-error matching settles
-each candidate window and gives its span and edits.
+normal form (A-Z lower-cased words, one space between), a bit-parallel edit distance leaves of each candidate
+window the ranges that hold an occurrence, and the regex library's bounded-error matching, whose cost grows fast
+with the edits, gives their spans and edits.
 
 Defined results: a null or wordless text has no words, places or labels and the score 0; nothing depends on a
 text's length or on other rows; spans are in words of the text, counted from 0.
@@ -39,8 +40,8 @@ NOTICES = (
     ("this source code form is subject to the terms of the mozilla public license", "mpl"),
     ("this is free and unencumbered software released into the public domain", "unlicense"),
 )
-#: One edit for so many characters of a notice, and the most in any: matching costs grow fast with the edits.
-CHARS_PER_EDIT, MOST_EDITS = 15, 4
+#: One edit for so many characters of a notice.
+CHARS_PER_EDIT = 15
 #: Every byte of UTF-8 that is in no word, after lower-casing.
 _BREAKS = bytes(b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else 0x20 for b in range(256))
 
@@ -52,14 +53,15 @@ class Notice:
     edits: int
     seeds: tuple[tuple[bytes, int], ...]  # piece, its place in the notice
     pattern: regex.Pattern
+    bits: dict[int, int]  # a byte's places in the notice, as a mask
 
 
-def notice(text: str, label: str, chars_per_edit: int = CHARS_PER_EDIT, most_edits: int = MOST_EDITS) -> Notice:
+def notice(text: str, label: str, chars_per_edit: int = CHARS_PER_EDIT) -> Notice:
     raw = text.encode()
-    k = min(len(raw) // chars_per_edit, most_edits)
+    k = len(raw) // chars_per_edit
     cuts = [len(raw) * i // (k + 1) for i in range(k + 2)]
     seeds = tuple((raw[a:b], a) for a, b in zip(cuts[:-1], cuts[1:], strict=True))
-    return Notice(raw, label, k, seeds, regex.compile(rb"(?e)(?:" + regex.escape(raw, literal_spaces=True) + rb"){e<=%d}" % k))
+    return Notice(raw, label, k, seeds, regex.compile(rb"(?e)(?:" + regex.escape(raw, literal_spaces=True) + rb"){e<=%d}" % k), {c: sum(1 << i for i, x in enumerate(raw) if x == c) for c in set(raw)})
 
 
 @lru_cache(maxsize=4)
@@ -104,10 +106,31 @@ def windows(body: bytes, n: Notice) -> list[tuple[int, int]]:
     return merged
 
 
+def near(body: bytes, n: Notice, a: int, b: int) -> list[tuple[int, int]]:
+    """Disjoint ranges of [a, b) that hold all occurrences within the edits there: none if there is none (Myers)."""
+    size = len(n.text)
+    full, top = (1 << size) - 1, 1 << (size - 1)
+    up, down, edits = full, 0, size
+    out: list[tuple[int, int]] = []
+    for at in range(a, b):
+        same = n.bits.get(body[at], 0)
+        v, h = same | down, (((same & up) + up) ^ up) | same
+        more, less = down | (~(h | up) & full), up & h
+        edits += bool(more & top) - bool(less & top)
+        more, less = more << 1 & full, less << 1 & full
+        up, down = less | (~(v | more) & full), more & v
+        if edits <= n.edits:
+            start = max(a, at + 1 - size - n.edits)
+            while out and start <= out[-1][1]:
+                start = min(start, out.pop()[0])
+            out.append((start, at + 1))
+    return out
+
+
 def fuzzy(body: bytes, n: Notice) -> list[tuple[int, int, int]]:
     """(start, end, edits) of the notice's occurrences in a normal form."""
     out = []
-    for a, b in windows(body, n):
+    for a, b in (part for window in windows(body, n) for part in near(body, n, *window)):
         for m in n.pattern.finditer(body, a, b):
             out.append((m.start(), m.end(), sum(m.fuzzy_counts)))
     return out

@@ -257,6 +257,21 @@ def test_fuzzy_notices():
     assert licenses.fuzzy(b" licensed under something else entirely ", n) == []
 
 
+def test_notices_at_their_bound_of_edits():
+    rng = random.Random(6)
+    for n in licenses.notices():
+        assert n.edits == len(n.text) // 15
+        for extra in (0, 1):
+            for _ in range(4):
+                text = bytearray(n.text)
+                for at in rng.sample(range(len(text)), n.edits + extra):
+                    text[at] = ord("#")
+                hits = licenses.fuzzy(b" foo bar " + bytes(text) + b" baz ", n)
+                assert [x[2] for x in hits] == ([] if extra else [n.edits])
+    for edits, text in ((5, "this source code is subject to the terms of the mozilla public license"), (6, "redistribution and use in source or binary forms with or without modification is permitted")):
+        assert [x[2] for n in licenses.notices() for x in licenses.fuzzy(licenses.normal_form(text), n)] == [edits]
+
+
 def test_license_spans(spark):
     df = spark.createDataFrame([(1, "Intro. Licenced under the Apache Licence, Version 2.0! Tail"), (2, "clean")], "id bigint, text string")
     got = {r["id"]: r for r in licenses.scan(df, "id", "text").collect()}
