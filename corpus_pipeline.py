@@ -1,8 +1,9 @@
 """A corpus pipeline over `documents`: each stage reads what its predecessor kept, as Parquet.
 
-Toxic documents go, then all but one document of each near-duplicate group, then documents that hold a window of
-a benchmark item; those that are left are encoded. Documents that no rule names pass unchanged, rows that repeat
-and null texts and ids included; of a near-duplicate group the document with the smallest doc_id stays.
+Toxic documents go, then all but one row of each near-duplicate group, then documents that hold a window of a
+benchmark item; those that are left are encoded. Documents that no rule names pass unchanged. Of a near-duplicate
+group the row with the smallest doc_id stays, of equal ids the one with the smallest text hash; a null id comes
+behind all others, and null texts are texts without words, which are near copies of each other.
 """
 
 from __future__ import annotations
@@ -25,12 +26,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked fingerprints, and each row once. Rows without an id pass."""
-    named = docs.filter("doc_id IS NOT NULL")
-    groups = simhash.near_duplicates(named, "doc_id", "text")
-    kept = groups.select(F.col("component_id").alias("keep_id")).distinct()
-    stays = named.join(kept, F.col("doc_id") == F.col("keep_id"), "left_semi").withColumn("th", F.xxhash64("text"))
-    return stays.dropDuplicates(["doc_id", "th"]).select(*COLUMNS).union(docs.filter("doc_id IS NULL").select(*COLUMNS))
+    """One row of each group of linked fingerprints: the smallest doc_id, null ids last, then the smallest text hash."""
+    keyed = docs.withColumn("key", F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.xxhash64("text").alias("th")))
+    kept = simhash.near_duplicates(keyed, "key", "text").select(F.col("component_id").alias("keep")).distinct()
+    return keyed.join(kept, F.col("key").eqNullSafe(F.col("keep")), "left_semi").dropDuplicates(["key"]).select(*COLUMNS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

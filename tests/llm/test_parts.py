@@ -385,6 +385,25 @@ def test_pipeline(spark, folder, docs):
     assert len(kept) == len(set(kept))
 
 
+def test_one_row_of_a_near_duplicate_group_stays(spark):
+    import corpus_pipeline
+    import xxhash
+
+    rng = random.Random(8)
+    one, two, three, four = (" ".join(rng.choice(("red", "green", "blue", "word", "text", "line")) + str(rng.randrange(99)) for _ in range(400)) for _ in range(4))
+    docs = [(None, one), (None, one), (None, one + " tail"), (5, two), (5, two), (5, two + " tail"), (5, three), (4, three), (6, four), (None, four), (6, one + " end"), (None, None), (None, "")]
+    fps = [brute.simhash(t) for _, t in docs]
+    of = brute.groups(sorted(set(fps)), lambda a, b: (a ^ b).bit_count() <= 3)
+    assert len(set(of.values())) == 5
+    th = lambda t: 42 if t is None else (xxhash.xxh64_intdigest(t.encode(), 42) + (1 << 63)) % (1 << 64) - (1 << 63)
+    want = {}
+    for (d, t), fp in zip(docs, fps, strict=True):
+        want[of[fp]] = min(want.get(of[fp], (2, 0, 0, "")), (d is None, d or 0, th(t), t))
+    rows = spark.createDataFrame([(*x, None, None, 0) for x in docs], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.drop_near_duplicates(spark, rows, "").collect()]
+    assert sorted(got, key=repr) == sorted(((None if none else d, t) for none, d, _, t in want.values()), key=repr)
+
+
 def test_pipeline_of_nothing(spark, empty):
     import corpus_pipeline
 
