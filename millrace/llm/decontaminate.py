@@ -1,9 +1,10 @@
 """Benchmark decontamination with a distributed positional inverted index, in DataFrame operations only.
 
-Training tokens of the query vocabulary become postings: (term, document, sorted positions). Each window of a
-benchmark item names its two rarest terms by corpus frequency; their lists, adjusted by the terms' offset from
-each other, are intersected, and only places that survive are compared word for word. A window with a term that
-the corpus lacks is dropped before anything is fetched.
+All training tokens of the query vocabulary (every term of a benchmark item, not the corpus's other terms) become
+stored postings: (term, document, sorted positions). Each window of a benchmark item names its two rarest terms by
+corpus frequency; their lists are fetched, adjusted by the terms' offset from each other and intersected, and only
+places that survive are compared word for word, in the texts. A window with a term that the corpus lacks is dropped
+before anything is fetched.
 
 What is broadcast (vocabulary, term pairs, documents to verify) is counted first; beyond BROADCAST_ROWS the same
 join is left to the planner, which shuffles it.
@@ -117,12 +118,13 @@ def verified(docs: DataFrame, found: DataFrame) -> DataFrame:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", item_text: str = "text", window: int = WINDOW, with_key: bool = False) -> DataFrame:
     """n_words, n_hit, n_items, items_sha256 and contaminated of every row of docs; with_key adds th, its text's XXH64."""
     wins = cut(windows(benchmark, item_column, item_text, window))
-    vocabulary = wins.select(F.explode("win").alias("term")).distinct()
-    counts = cut(term_counts(docs, text_column, cut(vocabulary)))
+    vocabulary = cut(wins.select(F.explode("win").alias("term")).distinct())
+    counts = cut(term_counts(docs, text_column, vocabulary))
     pairs = cut(rarest_pairs(wins, counts))
     rare = cut(pairs.select(F.explode(F.array("t1", "t2")).alias("term")).filter("term IS NOT NULL").distinct())
     corpus = keyed(docs, id_column, text_column)
-    found = cut(candidates(store_postings(corpus, rare), pairs))
+    fetched = store_postings(corpus, vocabulary).join(small(rare), "term", "left_semi")
+    found = cut(candidates(fetched, pairs))
     # overlapping occurrences hit a word once: sorted intervals, each counted beyond the end of those before
     n_hit = F.expr("aggregate(array_sort(transform(hits, h -> struct(h.s AS s, h.e AS e))), struct(0 AS n, 0 AS end), (a, h) -> struct(a.n + greatest(0, h.e - greatest(h.s, a.end)) AS n, greatest(a.end, h.e) AS end), a -> CAST(a.n AS BIGINT))")
     items = F.sort_array(F.array_distinct(F.flatten(F.transform("hits", lambda h: h["items"]))))
@@ -137,8 +139,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_i
 
 
 def proximity(docs: DataFrame, queries: DataFrame, id_column: str, text_column: str, query_column: str, query_text: str, slop: int) -> DataFrame:
-    """(query, id, first): for each query and document, the first place of the query's rarest term that has all of the
-    query's other terms at most `slop` words away. A query without words, or with a term that no document has, matches nothing."""
+    """(query, id, first, places): for each query and document, the places of the query's rarest term that have all of the
+    query's other terms at most `slop` words away, in order, and the first of them. A query without words, or with a term that no document has, matches nothing."""
     terms = cut(queries.select(F.col(query_column).alias("query"), F.explode(F.array_distinct(words(F.col(query_text)))).alias("term")))
     vocabulary = cut(terms.select("term").distinct())
     counts = term_counts(docs, text_column, vocabulary)
@@ -150,7 +152,7 @@ def proximity(docs: DataFrame, queries: DataFrame, id_column: str, text_column:
     met = rarest.join(others, (F.col("query") == F.col("q")) & F.col("id").eqNullSafe(F.col("i")) & (F.col("th") == F.col("t")), "left")
     close = F.coalesce(F.expr(f"exists(near, x -> abs(x - p) <= {int(slop)})"), F.lit(False))
     per_place = met.groupBy("query", "id", "th", "p", "wanted").agg(F.count_if(close).alias("n")).filter("n = wanted - 1")
-    return per_place.groupBy("query", "id", "th").agg(F.min("p").alias("first")).select("query", F.col("id").alias(id_column), "first")
+    return per_place.groupBy("query", "id", "th").agg(F.min("p").alias("first"), F.sort_array(F.collect_set("p")).alias("places")).select("query", F.col("id").alias(id_column), "first", "places")
 
 
 def oracle_sql(window: int = WINDOW) -> str:

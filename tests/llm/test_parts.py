@@ -54,6 +54,23 @@ def test_proximity(spark):
     assert got == {("q", 1, 5), ("q", 3, 0), ("one", 1, 3), ("one", 2, 7), ("one", 3, 1)}
 
 
+def test_proximity_gives_every_place(spark):
+    docs = spark.createDataFrame([(1, "red green x x x x red x x x x x x green red"), (2, "red red green")], "doc_id bigint, text string")
+    got = decontaminate.proximity(docs, spark.createDataFrame([("q", "red green")], "q string, t string"), "doc_id", "text", "q", "t", 1)
+    assert {r["doc_id"]: (r["first"], r["places"]) for r in got.collect()} == {1: (1, [1, 13]), 2: (2, [2])}
+
+
+def test_the_stored_index_holds_the_query_vocabulary(spark, folder, docs, monkeypatch):
+    from conftest import ITEMS
+
+    stored, make = [], decontaminate.store_postings
+    monkeypatch.setattr(decontaminate, "store_postings", lambda *a: stored.append(make(*a)) or stored[-1])
+    decontaminate.decontaminate(spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/benchmark.parquet")).count()
+    asked = {w for _, t in ITEMS for w in brute.tokens(t)}
+    want = {(d, w, tuple(i for i, x in enumerate(brute.tokens(t)) if x == w)) for d, t in docs for w in asked & set(brute.tokens(t))}
+    assert {(r["id"], r["term"], tuple(r["at"])) for r in stored[0].collect()} == want
+
+
 def test_decontamination_without_broadcasts(spark, folder, docs, monkeypatch):
     from conftest import ITEMS
 
