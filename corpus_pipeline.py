@@ -40,8 +40,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token ids of every document that is left."""
-    return bpe.encode_column(docs, "doc_id", "text", byte_bpe_path())
+    """The token ids of every document that is left, the digest of what they decode to, and whether that is the text."""
+    return bpe.round_trip_column(docs, "doc_id", "text", byte_bpe_path())
 
 
 STAGES = [("toxicity", drop_toxic), ("near_dedup", drop_near_duplicates), ("decontaminate", drop_contaminated), ("encode", encode)]

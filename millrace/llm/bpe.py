@@ -235,6 +235,25 @@ def decode_column(df: DataFrame, id_column: str, ids_column: str, path: str) ->
     return df.select(id_column, ids_column).mapInArrow(run, f"`{id_column}` {kind}, text string")
 
 
+def round_trip_column(df: DataFrame, id_column: str, text_column: str, path: str) -> DataFrame:
+    """(id_column, ids array<int>, decoded_sha256, lossless) of every row: the ids, and whether what they decode to is the text."""
+    ship(df.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = vocabulary(path)
+        for batch in (part for whole in batches for part in slices(whole, 1)):
+            values = texts(batch.column(1))
+            for lo, hi, ids, counts in encoded(values, bpe):
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(ids, pa.int32()))
+                back = bpe.decode(ids, counts)
+                sha = [hashlib.sha256(x.encode("utf-8")).hexdigest() for x in back]
+                same = [x == y for x, y in zip(back, values[lo:hi], strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), lists, pa.array(sha, pa.string()), pa.array(same, pa.bool_())], names=[id_column, "ids", "decoded_sha256", "lossless"])
+
+    kind = df.schema[id_column].dataType.simpleString()
+    return df.select(id_column, text_column).mapInArrow(run, f"`{id_column}` {kind}, ids array<int>, decoded_sha256 string, lossless boolean")
+
+
 def digest_column(df: DataFrame, id_column: str, text_column: str, path: str) -> DataFrame:
     """n_tokens, ids_sha256 and decoded_sha256 of every row: encoded, then decoded from the ids."""
     ship(df.sparkSession)

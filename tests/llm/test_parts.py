@@ -421,6 +421,15 @@ def test_one_row_of_a_near_duplicate_group_stays(spark):
     assert sorted(got, key=repr) == sorted(((None if none else d, t) for none, d, _, t in want.values()), key=repr)
 
 
+def test_the_last_stage_decodes_what_it_encodes(spark, docs):
+    import corpus_pipeline
+
+    rows = corpus_pipeline.encode(spark, spark.createDataFrame(docs, "doc_id bigint, text string"), "").collect()
+    want = brute.bpe(docs)
+    assert sorted(((r["doc_id"], len(r["ids"]), r["decoded_sha256"]) for r in rows), key=repr) == sorted(((d, n, sha) for d, n, _, sha in want), key=repr)
+    assert all(r["lossless"] for r in rows)
+
+
 def test_pipeline_of_nothing(spark, empty):
     import corpus_pipeline
 
