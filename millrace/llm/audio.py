@@ -5,14 +5,22 @@ the last is padded with the floor value. Hysteresis marks frames: a segment open
 above a high threshold and closes when it falls below a low one; a mark says that a frame is in a segment, and
 no frame is left out for having none.
 
-Every recording is computed alone and in blocks of a fixed size, so memory is bounded whatever its length
-and equal recordings have equal features to the last bit. A null or empty payload is padded like any other.
+Media are stored as a Parquet column, tensors with their spans and marks as Arrow files (a fixed-shape tensor
+column), both in the shared folder; digests are made from what is read back. Files that tasks write have names of
+their own and only those in the checkpointed manifest count, so a task may run twice.
+
+Every recording is computed alone, BLOCK_FRAMES frames at a time, and equal recordings have equal features to the
+last bit. Beside the recording itself, a task holds its log-mel energies, about a quarter of its bytes.
+
+Defined results: a null or empty payload is padded like any other; repeated rows and null ids are rows like any
+other; an empty table gives no files and no rows; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -20,8 +28,10 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_type
 
-from millrace.llm.common import ship, slices
+from millrace.llm.common import cut, scratch_path, ship, slices
+from millrace.llm.storage import create, filesystem
 
 PAD_TO = 192
 SAMPLE_RATE, TARGET_RATE = 16_000, 8_000
@@ -72,32 +82,34 @@ def _filter(up: int, down: int, taps: int = 8) -> np.ndarray:
     return np.concatenate([h, np.zeros(-len(h) % up)]).reshape(-1, up).T.copy()
 
 
-def resample(x: np.ndarray, up: int, down: int) -> np.ndarray:
-    """Polyphase: output n uses only the filter phase (n * down) % up, so no zero-stuffed signal is made."""
-    if up == down:
-        return x
+def reach(start: int, stop: int, up: int, down: int) -> tuple[int, int]:
+    """The inputs [lo, hi), in part beyond the signal's ends, that outputs start to stop - 1 depend on."""
+    h = _filter(up, down)
+    delay = (h.size - 1) // 2
+    return (start * down + delay) // up - h.shape[1] + 1, ((stop - 1) * down + delay) // up + 1
+
+
+def resampled(source: np.ndarray, start: int, stop: int, up: int, down: int) -> np.ndarray:
+    """Outputs start to stop - 1 from the inputs that they reach. Output n uses only the filter phase (n * down) % up."""
     h = _filter(up, down)
-    width = h.shape[1]
-    delay = (h.shape[0] * width - 1) // 2
-    n_out = -(-len(x) * up // down)
-    source = np.concatenate([np.zeros(width, np.float32), x.astype(np.float32), np.zeros(width + down, np.float32)])
-    out = np.empty(n_out, np.float32)
-    for phase_at in range(up):
-        n = np.arange(phase_at, n_out, up)
-        place = n * down + delay
-        if not len(n):
-            continue
-        # all outputs of this residue share one phase and step by `down` inputs
-        first, step = place[0] // up, down
-        windows = np.lib.stride_tricks.sliding_window_view(source, width)[first + 1 :: step][: len(n)]
-        if len(windows) < len(n):
-            windows = np.concatenate([windows, np.zeros((len(n) - len(windows), width), np.float32)])
-        taps = h[place[0] % up][::-1].astype(np.float32)
-        for lo in range(0, len(n), 1 << 16):
-            out[n[lo : lo + (1 << 16)]] = windows[lo : lo + (1 << 16)] @ taps
+    width, delay, (lo, _) = h.shape[1], (h.size - 1) // 2, reach(start, stop, up, down)
+    out, windows = np.empty(stop - start, np.float32), np.lib.stride_tricks.sliding_window_view(source, width)
+    for first in range(start, min(start + up, stop)):  # outputs `up` apart share a phase and step by `down` inputs
+        place = first * down + delay
+        n = len(range(first, stop, up))
+        out[first - start :: up] = windows[place // up - width + 1 - lo :: down][:n] @ h[place % up][::-1].astype(np.float32)
     return out
 
 
+def resample(x: np.ndarray, up: int, down: int) -> np.ndarray:
+    """The whole signal at up / down times its rate."""
+    n = -(-len(x) * up // down)
+    if not n:
+        return np.empty(0, np.float32)
+    lo, hi = reach(0, n, up, down)
+    return resampled(np.concatenate([np.zeros(-lo, np.float32), x.astype(np.float32), np.zeros(max(0, hi - len(x)), np.float32)])[: hi - lo], 0, n, up, down)
+
+
 @lru_cache(maxsize=4)
 def mel_bank(rate: int, window: int = WINDOW, mels: int = MELS) -> np.ndarray:
     """Triangles, equally spaced on the mel scale: (window / 2 + 1) x mels."""
@@ -109,18 +121,28 @@ def mel_bank(rate: int, window: int = WINDOW, mels: int = MELS) -> np.ndarray:
     return np.maximum(0, np.minimum(rise, fall)).astype(np.float32)
 
 
-def log_mel(x: np.ndarray, rate: int) -> tuple[np.ndarray, np.ndarray]:
-    """(frames x MELS log-mel energies, log energy of each frame) of overlapping frames; at least one frame."""
-    n = max(1, 1 + -(-(len(x) - WINDOW) // HOP))
-    x = np.concatenate([x, np.zeros(max(0, (n - 1) * HOP + WINDOW - len(x)), np.float32)])
-    view = np.lib.stride_tricks.sliding_window_view(x, WINDOW)[::HOP][:n]
-    shape, bank = np.hanning(WINDOW).astype(np.float32), mel_bank(rate)
+def log_mel(samples: np.ndarray, rate: int) -> tuple[np.ndarray, np.ndarray]:
+    """(frames x MELS log-mel energies, log energy of each frame) of 8-bit samples, resampled; at least one frame."""
+    down = rate // TARGET_RATE
+    length = -(-len(samples) // down)
+    n = max(1, 1 + -(-(length - WINDOW) // HOP))
+    mean = float(samples.sum(dtype=np.int64)) / max(1, len(samples))
+    shape, bank, floor = np.hanning(WINDOW).astype(np.float32), mel_bank(TARGET_RATE), np.float32(np.exp(FLOOR))
     mel, energy = np.empty((n, MELS), np.float32), np.empty(n, np.float32)
     for lo in range(0, n, BLOCK_FRAMES):
-        frames = view[lo : lo + BLOCK_FRAMES] * shape
+        hi = min(n, lo + BLOCK_FRAMES)
+        start, stop = lo * HOP, (hi - 1) * HOP + WINDOW
+        signal = np.zeros(stop - start, np.float32)
+        if (own := min(stop, length)) > start:
+            a, b = reach(start, own, 1, down)
+            source = np.zeros(b - a, np.float32)
+            first, last = max(a, 0), min(b, len(samples))
+            source[first - a : last - a] = (samples[first:last] - np.float32(mean)) / np.float32(128)
+            signal[: own - start] = resampled(source, start, own, 1, down)
+        frames = np.lib.stride_tricks.sliding_window_view(signal, WINDOW)[::HOP] * shape
         power = np.abs(np.fft.rfft(frames, axis=1)).astype(np.float32) ** 2
-        mel[lo : lo + len(frames)] = np.log(np.maximum(power @ bank, np.float32(np.exp(FLOOR))))
-        energy[lo : lo + len(frames)] = np.log(np.maximum(power.sum(1), np.float32(np.exp(FLOOR))))
+        mel[lo:hi] = np.log(np.maximum(power @ bank, floor))
+        energy[lo:hi] = np.log(np.maximum(power.sum(1), floor))
     return mel, energy
 
 
@@ -136,9 +158,7 @@ def segments(energy: np.ndarray, rise: float, fall: float) -> np.ndarray:
 
 def marked_features(samples: bytes, rate: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(n x FRAMES x MELS float32 tensors, n x 2 spans in milliseconds, n x FRAMES marks of the frames in segments)."""
-    x = (np.frombuffer(samples, np.uint8).astype(np.float32) - 128) / 128
-    down = rate // TARGET_RATE
-    mel, energy = log_mel(resample(x - x.mean() if len(x) else x, 1, down), TARGET_RATE)
+    mel, energy = log_mel(np.frombuffer(samples, np.uint8), rate)
     level, end = float(energy.mean()), len(mel)
     n = -(-end // FRAMES)
     block, marks = np.full((n * FRAMES, MELS), FLOOR, np.float32), np.zeros(n * FRAMES, bool)
@@ -150,67 +170,127 @@ def marked_features(samples: bytes, rate: int) -> tuple[np.ndarray, np.ndarray,
     return block.reshape(n, FRAMES, MELS), spans, marks.reshape(n, FRAMES)
 
 
-def features(samples: bytes, rate: int) -> tuple[np.ndarray, np.ndarray]:
-    """The tensors and spans of marked_features."""
-    return marked_features(samples, rate)[:2]
-
-
 def tensor_array(tensors: np.ndarray) -> pa.FixedShapeTensorArray:
     """The tensors as an Arrow column of fixed shape."""
     return pa.FixedShapeTensorArray.from_numpy_ndarray(np.ascontiguousarray(tensors, np.float32)) if len(tensors) else pa.ExtensionArray.from_storage(pa.fixed_shape_tensor(pa.float32(), (FRAMES, MELS)), pa.array([], pa.list_(pa.float32(), FRAMES * MELS)))
 
 
 def store(df: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """(id, media): each text's padded bytes as a WAV column."""
+    """(id, n_bytes, media): each text's padded bytes as a WAV column, written to the shared folder and read from there."""
     ship(df.sparkSession)
     kind = df.schema[id_column].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in slices(whole, 1)):
-            media = [wav(padded((x or "").encode("utf-8", "replace"))) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(media, pa.large_binary())], names=[id_column, "media"])
+            raw = [(x or "").encode("utf-8", "replace") for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in raw], pa.int64()), pa.array([wav(padded(x)) for x in raw], pa.large_binary())], names=[id_column, "n_bytes", "media"])
 
-    return df.select(id_column, text_column).mapInArrow(run, f"`{id_column}` {kind}, media binary")
+    path = scratch_path(df.sparkSession, "media")
+    df.select(id_column, text_column).mapInArrow(run, f"`{id_column}` {kind}, n_bytes bigint, media binary").write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
-def feature_rows(media: DataFrame, id_column: str, media_column: str = "media") -> DataFrame:
-    """(id, segment, start_ms, end_ms, mel, marks): a row per tensor, numbered by segment; mel is FRAMES x MELS, flat, of fixed size."""
-    ship(media.sparkSession)
-    kind = media.schema[id_column].dataType.simpleString()
+RECORDING = [("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("n_tensors", pa.int64())]
+TENSOR = pa.schema([("start_ms", pa.int64()), ("end_ms", pa.int64()), ("mel", pa.fixed_shape_tensor(pa.float32(), (FRAMES, MELS))), ("marks", pa.list_(pa.bool_(), FRAMES))])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i, blob in enumerate(batch.column(1)):
-                if not blob.is_valid:
-                    continue
-                tensors, spans, marks = marked_features(*read_wav(blob.as_py()))
-                index = pa.array(np.full(len(tensors), i, np.int32))
-                flat = tensor_array(tensors).storage
-                mel = pa.ListArray.from_arrays(pa.array(np.arange(len(tensors) + 1) * FRAMES * MELS, pa.int32()), flat.flatten())
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(index), pa.array(np.arange(len(tensors)), pa.int32()), pa.array(spans[:, 0], pa.int64()), pa.array(spans[:, 1], pa.int64()), mel, pa.array(marks.tolist(), pa.list_(pa.bool_()))], names=[id_column, "segment", "start_ms", "end_ms", "mel", "marks"])
 
-    return media.select(id_column, media_column).mapInArrow(run, f"`{id_column}` {kind}, segment int, start_ms bigint, end_ms bigint, mel array<float>, marks array<boolean>")
+def tensor_batch(tensors: np.ndarray, spans: np.ndarray, marks: np.ndarray) -> pa.RecordBatch:
+    flags = pa.FixedSizeListArray.from_arrays(pa.array(marks.reshape(-1)), FRAMES)
+    return pa.RecordBatch.from_arrays([pa.array(spans[:, 0], pa.int64()), pa.array(spans[:, 1], pa.int64()), tensor_array(tensors), flags], schema=TENSOR)
 
 
-def digests(df: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """What the stored form of each text holds when it is read back, and a digest of its tensors, spans and marks."""
-    ship(df.sparkSession)
-    kind = df.schema[id_column].dataType.simpleString()
+def write_tensors(media: DataFrame, id_column: str, folder: str | None = None) -> DataFrame:
+    """Writes what `store` made as tensors; (path, n) of each pair of files: path.recordings with a row per recording,
+    and path.tensors with its tensors, in the same order."""
+    spark = media.sparkSession
+    ship(spark)
+    folder = folder or scratch_path(spark, "tensors")
 
-    def one(raw: bytes) -> tuple:
-        media = wav(padded(raw))
-        samples, rate = read_wav(media)
-        tensors, spans, marks = marked_features(samples, rate)
-        column = tensor_array(tensors)
-        mark = hashlib.sha256(column.storage.flatten().to_numpy(zero_copy_only=False).tobytes() + spans.astype("<i8").tobytes() + marks.tobytes()).hexdigest()
-        return len(raw), len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-16:]), len(media), hashlib.sha256(media).hexdigest(), f"{len(tensors)}x{FRAMES}x{MELS}:{mark}"
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        options, n, files = pa.ipc.IpcWriteOptions(compression="zstd"), 0, []
+        for batch in (part for whole in batches for part in slices(whole, 2)):
+            if not files:
+                path = f"{folder}/{uuid.uuid4().hex}"
+                sinks = [create(f"{path}.{x}") for x in ("recordings", "tensors")]
+                schema = pa.schema([("id", batch.column(0).type), *RECORDING])
+                files = [pa.ipc.new_stream(sink, x, options=options) for sink, x in zip(sinks, (schema, TENSOR), strict=True)]
+            rows, waiting, held = [], [], 0
+            for n_bytes, blob in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
+                blob = blob.as_py()
+                samples, rate = read_wav(blob)
+                made = marked_features(samples, rate)
+                rows.append((n_bytes, len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-16:]), len(blob), hashlib.sha256(blob).hexdigest(), len(made[0])))
+                waiting.append(made)
+                held += len(made[0])
+                if held > 512:
+                    files[1].write_batch(tensor_batch(*(np.concatenate(x) for x in zip(*waiting, strict=True))))
+                    waiting, held = [], 0
+            if waiting:
+                files[1].write_batch(tensor_batch(*(np.concatenate(x) for x in zip(*waiting, strict=True))))
+            files[0].write_batch(pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[i] for r in rows], k) for i, (_, k) in enumerate(RECORDING))], schema=schema))
+            n += len(rows)
+        if files:
+            for file in (*files, *sinks):
+                file.close()
+            yield pa.RecordBatch.from_pydict({"path": [path], "n": [n]})
+
+    return cut(media.select(id_column, "n_bytes", "media").mapInArrow(run, "path string, n bigint"))
+
+
+def recordings(path: str) -> Iterator[tuple[dict, Iterator[pa.RecordBatch]]]:
+    """(row of the recording, its tensors in pieces) of a pair of files; the tensors of one must be taken before the next one."""
+    fs, place = filesystem(path)
+    with fs.open_input_stream(f"{place}.recordings") as one, fs.open_input_stream(f"{place}.tensors") as two:
+        tensors, rest = pa.ipc.open_stream(two), None
+
+        def own(left: int) -> Iterator[pa.RecordBatch]:
+            nonlocal rest
+            while left:
+                if rest is None or not len(rest):
+                    rest = tensors.read_next_batch()
+                piece = rest.slice(0, left)
+                rest, left = rest.slice(len(piece)), left - len(piece)
+                yield piece
+
+        for batch in pa.ipc.open_stream(one):
+            for row in batch.to_pylist():
+                yield row, own(row["n_tensors"])
+
+
+def tensor_digest(pieces: Iterator[pa.RecordBatch]) -> str:
+    """SHA-256 over those of a recording's tensors, spans and marks, whatever the pieces."""
+    parts = [hashlib.sha256() for _ in range(4)]
+    for piece in pieces:
+        parts[0].update(np.ascontiguousarray(piece.column(2).to_numpy_ndarray(), "<f4").tobytes())
+        parts[1].update(piece.column(0).to_numpy().astype("<i8").tobytes())
+        parts[2].update(piece.column(1).to_numpy().astype("<i8").tobytes())
+        parts[3].update(piece.column(3).flatten().to_numpy(zero_copy_only=False).tobytes())
+    return hashlib.sha256(b"".join(x.digest() for x in parts)).hexdigest()
 
-    names = [id_column, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for whole in batches for part in slices(whole, 1)):
-            rows = [one((x or "").encode("utf-8", "replace")) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds))], names=names)
+def digests(df: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """What the stored form of each text holds when it is read back, and a digest of its stored tensors, spans and marks."""
+    spark, kind = df.sparkSession, df.schema[id_column].dataType.simpleString()
+    files = write_tensors(store(df, id_column, text_column), id_column)
 
-    return df.select(id_column, text_column).mapInArrow(run, f"`{id_column}` {kind}, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for path in (x for batch in batches for x in batch.column(0).to_pylist()):
+            rows: list[dict] = []
+            for row, tensors in recordings(path):
+                row["feature"] = f"{row['n_tensors']}x{FRAMES}x{MELS}:{tensor_digest(tensors)}"
+                rows.append(row)
+                if len(rows) == 4096:
+                    yield _rows(rows)
+                    rows = []
+            if rows:
+                yield _rows(rows)
+
+    id_type = to_arrow_type(df.schema[id_column].dataType)
+    names = [x for x, _ in RECORDING[:-1]]
+    kinds = [k for _, k in RECORDING[:-1]]
+
+    def _rows(rows: list[dict]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r["id"] for r in rows], id_type), *(pa.array([r[x] for r in rows], k) for x, k in zip(names, kinds, strict=True)), pa.array([r["feature"] for r in rows], pa.string())], names=[id_column, *names, "feature"])
+
+    ship(spark)
+    return files.repartition(max(1, files.count())).mapInArrow(run, f"`{id_column}` {kind}, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string")

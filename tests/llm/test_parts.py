@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from millrace.llm import audio, bpe, chat, ctw, decontaminate, frames, licenses, simhash, toxicity, warc
+from millrace.llm import bpe, chat, ctw, decontaminate, frames, licenses, simhash, toxicity, warc
 from millrace.llm.components import components
 from millrace.llm.queries import byte_bpe_path
 
@@ -310,53 +310,6 @@ def test_word_numbers_of_many_places():
     assert licenses.word_numbers(body, at) == [len(body[1:x].split()) for x in at] and licenses.word_numbers(body, []) == []
 
 
-def test_resampling_is_the_direct_convolution():
-    x = np.random.default_rng(0).normal(size=700).astype(np.float32)
-    for up, down in ((1, 2), (3, 2), (2, 3), (147, 160)):
-        h = audio._filter(up, down).T.reshape(-1)
-        stuffed = np.zeros(len(x) * up)
-        stuffed[::up] = x
-        want = np.convolve(stuffed, h)[(len(h) - 1) // 2 :: down]
-        got = audio.resample(x, up, down)
-        assert np.abs(got - want[: len(got)]).max() < 1e-5
-
-
-def test_hysteresis_segments():
-    e = np.array([0, 3, 1, 1, -1, 0, 0, 2, 0, 0, -2, 5.0])
-    assert audio.segments(e, 1.5, -0.5).tolist() == [[1, 4], [7, 10], [11, 12]]
-    assert audio.segments(np.zeros(4), 1, -1).tolist() == []
-
-
-def test_audio_columns(spark):
-    tone = "".join(chr(40 + (i * i // 7) % 80) for i in range(30_000))
-    df = spark.createDataFrame([(1, tone), (2, tone), (3, None)], "id bigint, text string")
-    media = audio.store(df, "id", "text")
-    blob = {r["id"]: bytes(r["media"]) for r in media.collect()}
-    assert audio.read_wav(blob[1]) == (audio.padded(tone.encode()), audio.SAMPLE_RATE) and audio.read_wav(blob[3])[0] == b" " * 192
-    rows = audio.feature_rows(media, "id").collect()
-    assert rows and all(len(r["mel"]) == audio.FRAMES * audio.MELS and r["start_ms"] < r["end_ms"] for r in rows)
-    mine = lambda i: sorted((r["segment"], r["start_ms"], r["end_ms"], r["mel"]) for r in rows if r["id"] == i)
-    assert mine(1) == mine(2)
-    tensors, _ = audio.features(*audio.read_wav(blob[1]))
-    assert audio.tensor_array(tensors).to_numpy_ndarray().shape == (len(tensors), audio.FRAMES, audio.MELS)
-
-
-def test_every_audio_frame_is_in_a_tensor(spark):
-    texts = ["one short text", "another short text", "word", "", "a" * 150 + "b" * 200]
-    rows = audio.digests(spark.createDataFrame(list(enumerate(texts)), "id bigint, text string"), "id", "text").collect()
-    assert len({r["feature"] for r in rows}) == len(texts) and all(r["feature"].startswith("1x32x20:") for r in rows)
-    loud, quiet = bytes(i * i % 251 for i in range(19_200)), bytes(127 + i % 2 for i in range(19_200))
-    samples = loud + quiet + loud
-    x = (np.frombuffer(samples, np.uint8).astype(np.float32) - 128) / 128
-    mel, energy = audio.log_mel(audio.resample(x - x.mean(), 1, 2), audio.TARGET_RATE)
-    tensors, spans, marks = audio.marked_features(samples, audio.SAMPLE_RATE)
-    assert np.array_equal(tensors.reshape(-1, audio.MELS)[: len(mel)], mel) and (tensors.reshape(-1, audio.MELS)[len(mel) :] == audio.FLOOR).all()
-    level, flat = energy.mean(), marks.reshape(-1)
-    edges = np.flatnonzero(np.diff(np.concatenate([[0], flat, [0]]).astype(int))).reshape(-1, 2)
-    assert edges.tolist() == audio.segments(energy, level + audio.RISE, level + audio.FALL).tolist() and 0 < flat.sum() < len(mel)
-    assert spans[:, 0].tolist() == [i * audio.FRAMES * audio.HOP // 8 for i in range(len(tensors))]
-
-
 def test_toxicity_learns(spark):
     rng = random.Random(4)
     word = lambda: "".join(rng.choice("abdeginorst") for _ in range(5))
