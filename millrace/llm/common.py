@@ -52,10 +52,14 @@ def runs(sizes: np.ndarray, most: int, most_rows: int = 1 << 14) -> Iterator[tup
         yield start, len(sizes)
 
 
+def byte_sizes(column: pa.Array) -> np.ndarray:
+    """Bytes of each value of a string or binary column; null has none."""
+    return pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+
+
 def slices(batch: pa.RecordBatch, column: int, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in pieces of at most `most` bytes of that column, so that few of its values are Python objects at once."""
-    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
-    for lo, hi in runs(sizes, most):
+    for lo, hi in runs(byte_sizes(batch.column(column)), most):
         yield batch.slice(lo, hi - lo)
 
 

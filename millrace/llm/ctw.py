@@ -6,38 +6,47 @@ and ones over all training texts; a node's Krichevsky-Trofimov estimate and the
 weighted probabilities are mixed half and half, recursively, so a prediction mixes the estimates of all depths.
 Contexts that training never met leave their weight to the deepest one that it did.
 
-How it is distributed: tasks sort the (DEPTH + 1)-byte grams of their texts and pre-aggregate them; grams that
-share their two latest context bytes meet in one task, which weights their subtree with array operations; depths
-0 and 1 (65,280 nodes at most) are mixed on the driver. The result, one log-probability per gram, is looked up
-from a broadcast of at most PART_GRAMS grams; a larger model is applied in as many passes as it has such parts.
+How it is distributed: texts are first stored in numbered blocks of some BLOCK_BYTES. One pass over them gives each
+block's distinct (DEPTH + 1)-byte grams and words with their training counts; these are added up over all blocks.
+Grams that share their TOP latest context bytes (2**24 at most) meet in one task, which weights their subtree with
+array operations; depth 2 (2**24 nodes at most) is mixed by distributed aggregation, depths 0 and 1 (65,280 nodes
+at most) on the driver. Each block asks for the predictions and counts of the grams and words that it has, by two
+joins, and its answers are written as a file of its own; a last pass reads each block with its answers. Nothing
+whose size grows with the data is broadcast, and the number of passes over the texts doesn't depend on the model.
 
-The base model is add-one smoothing over words. The words that make up at least 1/HEAVY of training (there can
-be no more than HEAVY of them) are broadcast; all others meet their counts in a join, per text and word.
+The base model is add-one smoothing over words.
 
 Defined results: a null or empty text is one end mark; rows that repeat are scored, and learnt from, each; a null
-id counts as held out; without training texts every byte costs 8 bits and base scores are 0.
+id counts as held out; without training texts every byte costs 8 bits and base scores are 0; an empty table gives
+no rows; a text longer than a block is a block of its own; other columns, whatever their names, take no part.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+import pyarrow.parquet as pq
+from pyarrow.fs import FileSelector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import cut, runs, scratch_path, ship, slices
+from millrace.llm.common import byte_sizes, runs, scratch_path, ship, slices
+from millrace.llm.storage import filesystem
 
-DEPTH = 5
+#: Context bytes in all, and of them the latest ones whose subtrees are weighted in one task each.
+DEPTH, TOP = 5, 3
 END = b"\n"
-HEAVY = 1_000_000
-PART_GRAMS = 6_000_000
-#: Bytes of text that are turned into grams at once; words and grams that a task gathers before it passes counts on.
-CHUNK, TABLE_WORDS, TABLE_GRAMS = 1 << 20, 400_000, 2_000_000
+#: Bytes of text whose grams and words are looked up together.
+BLOCK_BYTES = 16 << 20
+#: Bytes of text that are turned into grams at once; grams that a task gathers before it passes counts on.
+CHUNK, TABLE_GRAMS = 1 << 20, 2_000_000
+#: Grams that are weighted at once, beside those of the last subtree.
+STREAM = 1 << 19
 LN10 = math.log(10)
 
 
@@ -96,9 +105,9 @@ def descend(n0: np.ndarray, n1: np.ndarray, weight: np.ndarray, mixed: np.ndarra
 
 
 class Subtree:
-    """The nodes of depths 2 to `depth` over some grams, for one of the eight decisions of a byte.
+    """The nodes of depths TOP to `depth` over some grams, for one of the eight decisions of a byte.
 
-    keys: sorted and distinct, all grams that share their two highest bytes with one of them.
+    keys: sorted and distinct, all grams that share their TOP highest bytes with one of them.
     """
 
     def __init__(self, keys: np.ndarray, n: np.ndarray, level: int, depth: int = DEPTH):
@@ -113,7 +122,7 @@ class Subtree:
         below = None
         self.weighted, weight = weigh(*self.layers[0][1:], below)
         self.weights, self.parents = [weight], []
-        for d in range(depth - 1, 1, -1):
+        for d in range(depth - 1, TOP - 1, -1):
             ids, n0, n1 = self.layers[-1]
             drop = np.uint64(8 * (depth - d) + 8)
             up, parent = np.unique(ids >> drop << np.uint64(8) | ids & np.uint64(255), return_inverse=True)
@@ -123,15 +132,14 @@ class Subtree:
             self.weighted, weight = weigh(*self.layers[-1][1:], total(self.weighted))
             self.weights.append(weight)
 
-    def top(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(latest byte, prefix, zeros, ones, ln weighted probability) of the nodes of depth 2."""
-        ids, n0, n1 = self.layers[-1]
-        return (ids >> np.uint64(8 * DEPTH)).astype(np.int64), (ids & np.uint64(255)).astype(np.int64), n0, n1, self.weighted
+    def top(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(gram with the TOP bytes and the prefix, zeros, ones, ln weighted probability) of the nodes of depth TOP."""
+        return (*self.layers[-1], self.weighted)
 
-    def ln_probability(self, mixed: np.ndarray, left: np.ndarray, stop: np.ndarray) -> np.ndarray:
-        """Per gram, ln of the probability of its decision; the arguments are by latest byte and prefix, of depth 1."""
-        byte, prefix, *_ = self.top()
-        state = mixed[byte, prefix], left[byte, prefix], stop[byte, prefix]
+    def ln_probability(self, ids: np.ndarray, mixed: np.ndarray, left: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        """Per gram, ln of the probability of its decision; the arguments are what depth TOP - 1 leaves to the nodes of depth TOP, sorted by gram."""
+        at = np.searchsorted(ids, self.layers[-1][0])
+        state = mixed[at], left[at], stop[at]
         for i in range(len(self.layers) - 1, -1, -1):
             _, n0, n1 = self.layers[i]
             state = descend(n0, n1, self.weights[i], *state)
@@ -141,19 +149,25 @@ class Subtree:
         return np.log(np.where(self.bit == 1, one, 1 - one))
 
 
-def _whole(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
-    """A partition's grams, sorted, with their counts."""
-    parts = [(b.column(0).to_numpy().astype(np.uint64), b.column(1).to_numpy()) for b in batches if len(b)]
-    if not parts:
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
-    keys, n = np.concatenate([x[0] for x in parts]), np.concatenate([x[1] for x in parts])
-    order = np.argsort(keys)
-    return keys[order], n[order]
+def subtrees(batches: Iterator[pa.RecordBatch], most: int = STREAM) -> Iterator[list[np.ndarray]]:
+    """The columns, the first being a sorted gram, in pieces that hold whole subtrees (at least one, and some `most` rows)."""
+    waiting: list[list[np.ndarray]] = []
+    for batch in batches:
+        waiting.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+        if sum(len(x[0]) for x in waiting) >= most:
+            whole = [np.concatenate(x) for x in zip(*waiting, strict=True)]
+            of = whole[0] >> 8 * (DEPTH + 1 - TOP)
+            end = int(np.searchsorted(of, of[-1]))
+            if end:
+                yield [x[:end] for x in whole]
+            waiting = [[x[end:] for x in whole]]
+    if waiting and any(len(x[0]) for x in waiting):
+        yield [np.concatenate(x) for x in zip(*waiting, strict=True)]
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
@@ -165,185 +179,219 @@ def merged(keys: list[np.ndarray], n: list[np.ndarray]) -> tuple[np.ndarray, np.
     return distinct, np.add.reduceat(count[order], np.cumsum(size) - size) if len(distinct) else count
 
 
-def gram_counts(rows: DataFrame) -> DataFrame:
-    """(gram, n) of all texts: n counts training only, so grams of held-out texts alone have 0. rows: held_out, text."""
+def blocks(rows: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows with `block`, stored: consecutive rows of a task share a number until their texts reach block_bytes.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts = [], []
-        for batch in (part for whole in batches for part in slices(whole, 1)):
-            held = batch.column(0).to_numpy(zero_copy_only=False).astype(bool)
-            text = batch.column(1).to_pylist()
-            for lo, hi in runs(np.array([len(x or "") for x in text], np.int64), CHUNK):
-                key, owner = grams([b" ".join(words(x)) + END for x in text[lo:hi]])
-                out = held[lo:hi][owner]
-                learnt, n = run_lengths(np.sort(key[~out]))
-                other, _ = run_lengths(np.sort(key[out]))
-                keys += [learnt, other]
-                counts += [n, np.zeros(len(other), np.int64)]
-                if sum(map(len, keys)) > TABLE_GRAMS:
-                    key, n = merged(keys, counts)
-                    keys, counts = [key], [n]
-                    if len(key) > TABLE_GRAMS // 2:
-                        yield _counted(key, n)
-                        keys, counts = [], []
-        yield _counted(*merged(keys, counts))
-
-    def _counted(key: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64)), pa.array(n)], names=["gram", "n"])
-
-    return rows.mapInArrow(run, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
+    Numbers are drawn anew in each attempt of a task; those of the attempt that is stored count. rows: ..., text.
+    """
+    ship(rows.sparkSession)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, held = uuid.uuid4().int >> 65, 0
+        for batch in batches:
+            sizes = byte_sizes(batch.column(batch.num_columns - 1))
+            number = np.empty(len(batch), np.int64)
+            for i, n in enumerate(sizes.tolist()):
+                if held and held + n > block_bytes:
+                    block, held = uuid.uuid4().int >> 65, 0
+                number[i] = block
+                held += n
+            yield pa.RecordBatch.from_arrays([pa.array(number), *batch.columns], names=["block", *batch.schema.names])
+
+    return stored(rows.mapInArrow(run, "block bigint, " + ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)), "blocks", "zstd")
+
+
+def by_block(batches: Iterator[pa.RecordBatch], text_column: int) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """(block, rows of it), in pieces of about a megabyte."""
+    for batch in (part for whole in batches for part in slices(whole, text_column)):
+        number = batch.column(0).to_numpy()
+        edge = [0, *(np.flatnonzero(np.diff(number)) + 1).tolist(), len(number)]
+        for lo, hi in zip(edge[:-1], edge[1:], strict=True):
+            if hi > lo:
+                yield int(number[lo]), batch.slice(lo, hi - lo)
+
+
+def key_counts(texts: DataFrame) -> DataFrame:
+    """(block, gram, word, n), stored: a row per distinct gram, and per distinct word, of a block; n counts training only, so
+    what only held-out texts have has 0. A block that is read in parts may have a key more than once. texts: as `blocks` makes them."""
 
-def model(rows: DataFrame) -> DataFrame:
-    """(gram, log10p): the weighted prediction of every gram of the texts, stored. rows: held_out, text."""
-    counted = stored(gram_counts(rows), "grams")
-    dealt = counted.repartition(F.shiftright("gram", 8 * (DEPTH - 1)))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, keys, counts, learnt_words, other_words = None, [], [], Counter(), set()
+
+        def rows() -> Iterator[pa.RecordBatch]:
+            key, n = merged(keys, counts)
+            if len(key):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), block)), pa.array(key.astype(np.int64)), pa.nulls(len(key), pa.string()), pa.array(n)], names=["block", "gram", "word", "n"])
+            only = [w for w in other_words if w not in learnt_words]
+            word, n = [*learnt_words, *only], [*learnt_words.values(), *[0] * len(only)]
+            if word:
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(word), block)), pa.nulls(len(word), pa.int64()), pa.array(word, pa.binary()).cast(pa.string()), pa.array(n, pa.int64())], names=["block", "gram", "word", "n"])
+            keys.clear(), counts.clear(), learnt_words.clear(), other_words.clear()
+
+        for number, part in by_block(batches, 2):
+            if number != block:
+                if block is not None:
+                    yield from rows()
+                block = number
+            held = part.column(1).to_numpy(zero_copy_only=False).astype(bool)
+            split = [words(x) for x in part.column(2).to_pylist()]
+            for lo, hi in runs(np.array([sum(map(len, w)) + len(w) for w in split], np.int64), CHUNK):
+                key, owner = grams([b" ".join(w) + END for w in split[lo:hi]])
+                out = held[lo:hi][owner]
+                for some, teach in ((key[~out], 1), (key[out], 0)):
+                    distinct, n = run_lengths(np.sort(some))
+                    keys.append(distinct)
+                    counts.append(n * teach)
+            for own, out in zip(split, held.tolist(), strict=True):
+                own.append(END)
+                other_words.update(own) if out else learnt_words.update(own)
+            if sum(map(len, keys)) > TABLE_GRAMS:
+                key, n = merged(keys, counts)
+                keys[:], counts[:] = [key], [n]
+                if len(key) > TABLE_GRAMS:  # a block of very many grams: in parts
+                    yield from rows()
+        if block is not None:
+            yield from rows()
+
+    return stored(texts.select("block", "held_out", "text").mapInArrow(run, "block bigint, gram bigint, word string, n bigint"), "keys")
+
+
+def model(counted: DataFrame) -> DataFrame:
+    """(gram, log10p), stored: the weighted prediction of every gram. counted: gram, n (0 where training lacks it)."""
+    ship(counted.sparkSession)
+    shift = 8 * (DEPTH + 1 - TOP)
+    dealt = counted.select("gram", "n").repartition(F.shiftright("gram", shift)).sortWithinPartitions("gram")
 
     def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, n = _whole(batches)
-        for level in range(8) if len(keys) else ():
-            byte, prefix, n0, n1, weighted = Subtree(keys, n, level).top()
-            both, inverse = np.unique(byte << 8 | prefix, return_inverse=True)
-            sums = [pa.array(np.bincount(inverse, weights=x, minlength=len(both))) for x in (n0, n1, weighted)]
-            yield pa.RecordBatch.from_arrays([pa.array(both), *sums], names=["node", "n0", "n1", "below"])
-
-    first = dealt.mapInArrow(summarise, "node bigint, n0 double, n1 double, below double").groupBy("node").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("below").alias("below"))
+        for keys, n in subtrees(batches):
+            for level in range(8):
+                node, *sums = Subtree(keys.astype(np.uint64), n, level).top()
+                yield pa.RecordBatch.from_arrays([pa.array(node.astype(np.int64)), *map(pa.array, sums)], names=["node", "n0", "n1", "ln"])
+
+    third = stored(dealt.mapInArrow(summarise, "node bigint, n0 double, n1 double, ln double"), "nodes")
+
+    def level_up(nodes: DataFrame, depth: int) -> DataFrame:
+        """Sums by the node one depth up, its bytes in the highest places."""
+        gone = 8 * (DEPTH + 1 - depth)
+        parent = F.shiftleft(F.shiftright("node", gone), gone).bitwiseOR(F.col("node").bitwiseAND(F.lit(255)))
+        return nodes.groupBy(parent.alias("node")).agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("ln").alias("below"))
+
+    def weighted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            node, n0, n1, below = (c.to_numpy() for c in batch.columns)
+            ln, own = weigh(n0, n1, below)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(ln), pa.array(own)], names=["node", "n0", "n1", "ln", "own"])
+
+    second = stored(level_up(third, 2).mapInArrow(weighted, "node bigint, n0 double, n1 double, ln double, own double"), "nodes")
     tables = np.zeros((3, 256, 256))
-    for r in first.collect():  # at most 256 * 255 nodes
-        tables[:, r["node"] >> 8, r["node"] & 255] = r["n0"], r["n1"], r["below"]
+    for r in level_up(second, 1).collect():  # at most 256 * 255 nodes
+        tables[:, r["node"] >> 8 * DEPTH, r["node"] & 255] = r["n0"], r["n1"], r["below"]
     n0, n1, below = tables
-    weighted, weight = weigh(n0.ravel(), n1.ravel(), below.ravel())
+    total, weight = weigh(n0.ravel(), n1.ravel(), below.ravel())
     r0, r1 = n0.sum(0), n1.sum(0)
-    _, root = weigh(r0, r1, weighted.reshape(256, 256).sum(0))
+    _, root = weigh(r0, r1, total.reshape(256, 256).sum(0))
     top = descend(r0, r1, root, np.zeros(256), np.ones(256), np.full(256, 0.5))
     tops = [np.broadcast_to(x, (256, 256)).ravel() for x in top]
     state = tuple(x.reshape(256, 256) for x in descend(n0.ravel(), n1.ravel(), weight, *tops))
-    shared = rows.sparkSession.sparkContext.broadcast(state)  # three tables of 256 x 256
+    shared = counted.sparkSession.sparkContext.broadcast(state)  # three tables of 256 x 256
+
+    def descended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            node, n0, n1, own = (c.to_numpy() for c in batch.columns)
+            left = descend(n0, n1, own, *(x[node >> 8 * DEPTH, node & 255] for x in shared.value))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, left)], names=["parent", "mixed", "rest", "stop"])
+
+    states = second.select("node", "n0", "n1", "own").mapInArrow(descended, "parent bigint, mixed double, rest double, stop double")
+    gone = 8 * (DEPTH + 2 - TOP)
+    parent = F.shiftleft(F.shiftright("node", gone), gone).bitwiseOR(F.col("node").bitwiseAND(F.lit(255)))
+    given = third.select("node", parent.alias("parent")).join(states, "parent").select(F.col("node").alias("gram"), F.lit(None).cast("bigint").alias("n"), "mixed", "rest", "stop")
+    nothing = [F.lit(None).cast("double").alias(x) for x in ("mixed", "rest", "stop")]
+    both = given.union(counted.select("gram", "n", *nothing)).repartition(F.shiftright("gram", shift)).sortWithinPartitions(F.shiftright("gram", shift), F.col("n").isNotNull(), "gram")
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, n = _whole(batches)
-        if not len(keys):
-            return
-        total = sum(Subtree(keys, n, level).ln_probability(*shared.value) for level in range(8))
-        for lo in range(0, len(keys), 1 << 18):
-            yield pa.RecordBatch.from_arrays([pa.array(keys[lo : lo + (1 << 18)].astype(np.int64)), pa.array((total[lo : lo + (1 << 18)] / LN10).astype(np.float32))], names=["gram", "log10p"])
+        for gram, n, *state in subtrees(batches):
+            is_state = np.isnan(n.astype(np.float64))
+            keys, counts = gram[~is_state].astype(np.uint64), n[~is_state].astype(np.int64)
+            above = gram[is_state].astype(np.uint64), *(x[is_state] for x in state)
+            if len(keys):
+                total = sum(Subtree(keys, counts, level).ln_probability(*above) for level in range(8))
+                yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array((total / LN10).astype(np.float32))], names=["gram", "log10p"])
 
-    return stored(dealt.mapInArrow(predict, "gram bigint, log10p float"), "predictions")
+    return stored(both.mapInArrow(predict, "gram bigint, log10p float"), "predictions")
 
 
 def text_scores(streams: list[bytes], keys: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """Sums of the values of each text's grams; grams that `keys` (sorted) lacks add nothing."""
+    """Sums of the values of each text's grams, all of which `keys` (sorted) must hold."""
     out = np.zeros(len(streams))
     for lo, hi in runs(np.array([len(x) for x in streams], np.int64), CHUNK):
         key, owner = grams(streams[lo:hi])
         both = np.sort(key << np.uint64(16) | owner.astype(np.uint64))  # a run has at most 2**14 texts
-        key = both >> np.uint64(16)
-        gram, n = run_lengths(key)
-        at = np.minimum(np.searchsorted(keys, gram), max(0, len(keys) - 1))
-        value = np.where(keys[at] == gram, values[at], 0) if len(keys) else np.zeros(len(gram))
-        out[lo:hi] += np.bincount((both & np.uint64(65535)).astype(np.int64), weights=np.repeat(value, n), minlength=hi - lo)
+        gram, n = run_lengths(both >> np.uint64(16))
+        at = np.minimum(np.searchsorted(keys, gram), len(keys) - 1)
+        if not (len(keys) and (keys[at] == gram).all()):
+            raise ValueError("a gram of a text has no prediction")
+        out[lo:hi] += np.bincount((both & np.uint64(65535)).astype(np.int64), weights=np.repeat(values[at], n), minlength=hi - lo)
     return out
 
 
-def word_counts(rows: DataFrame) -> DataFrame:
-    """(token, n) of the training texts, end marks included. rows: held_out, text."""
+def answers(keys: DataFrame, predictions: DataFrame, counts: DataFrame) -> str:
+    """Writes, for each block, the predictions of its grams and the training counts of its words; the folder of these files."""
+    of_grams = keys.filter("gram IS NOT NULL").select("block", "gram").join(predictions, "gram").select("block", "gram", F.lit(None).cast("string").alias("word"), F.col("log10p").cast("double").alias("value"))
+    of_words = keys.filter("word IS NOT NULL").select("block", "word").join(counts, "word").select("block", F.lit(None).cast("bigint").alias("gram"), "word", F.col("n").cast("double").alias("value"))
+    path = scratch_path(keys.sparkSession, "answers")
+    of_grams.union(of_words).repartition("block").sortWithinPartitions("block", "gram").write.partitionBy("block").parquet(path)
+    return path
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: Counter[bytes] = Counter()
-        for batch in (part for whole in batches for part in slices(whole, 0)):
-            for text in batch.column(0).to_pylist():
-                total.update(words(text))
-                total[END] += 1
-                if len(total) > TABLE_WORDS:
-                    yield _tokens(total)
-                    total.clear()
-        yield _tokens(total)
-
-    def _tokens(total: Counter[bytes]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(total), pa.binary()).cast(pa.string()), pa.array(list(total.values()), pa.int64())], names=["token", "n"])
-
-    return rows.filter("NOT held_out").select("text").mapInArrow(run, "token string, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
-
-
-def score(docs: DataFrame, id_column: str, text_column: str, held: Column, part_grams: int = PART_GRAMS, heavy: int = HEAVY) -> DataFrame:
-    """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row of docs."""
-    spark = docs.sparkSession
-    ship(spark)
-    rows = docs.select(held.alias("held_out"), F.col(text_column).alias("text"))
-    counts = stored(word_counts(rows), "words")
-    total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    common = counts.filter(F.col("n") * heavy >= total).toArrow()  # their counts add up to `total`, so there are `heavy` at most
-    known = {t.encode(): math.log10(n + 1) for t, n in zip(common.column("token").to_pylist(), common.column("n").to_pylist(), strict=True)}
-    predictions = model(rows)
-    parts = max(1, -(-predictions.count() // part_grams))
-    out = None
-    kind = docs.schema[id_column].dataType.simpleString()
-    for part in range(parts):
-        chosen = predictions.filter(F.pmod(F.xxhash64("gram"), F.lit(parts)) == part) if parts > 1 else predictions
-        table = chosen.toArrow()
-        keys, values = table.column("gram").to_numpy().astype(np.uint64), table.column("log10p").to_numpy()
-        order = np.argsort(keys)
-        shared = spark.sparkContext.broadcast((keys[order], values[order], known if part == 0 else None))
-        del table, keys, values, order
-        each = docs.select(F.col(id_column).alias("id"), held.alias("held_out"), F.col(text_column).alias("text")).mapInArrow(_pass(shared, id_column), f"uid bigint, token string, k bigint, head struct<id: {kind}, held_out: boolean, n_tokens: bigint, n_known: bigint, base: double, score: double>")
-        if parts > 1:  # a job of its own: in a union, the tasks of later passes would have other partition numbers
-            each = stored(each, "pass")
-        out = each if out is None else out.union(each)
-    # rows with a text's own figures have a token that no text has, so each meets nothing, wherever it is dealt
-    met = out.join(counts, "token", "left")
-    per = met.groupBy("uid").agg(
-        F.max("head.id").alias("id"), F.max("head.held_out").alias("held_out"), F.sum("head.n_tokens").alias("n_tokens"),
-        F.sum(F.coalesce("head.n_known", F.lit(0)) + F.when(F.col("n").isNotNull(), F.col("k")).otherwise(0)).alias("n_known"),
-        F.sum(F.coalesce("head.base", F.lit(0.0)) + F.coalesce(F.col("k") * F.log10(F.col("n") + 1.0), F.lit(0.0))).alias("base"),
-        F.sum("head.score").alias("score"),
-    )
-    return per.select(
-        F.col("id").alias(id_column), "held_out", "n_tokens", "n_known", F.lit(total).cast("bigint").alias("train_tokens"),
-        (F.col("base") - F.col("n_tokens") * math.log10(total + distinct + 1)).alias("base_score"), "score",
-    )
-
-
-def _pass(shared, id_column: str):
-    """Scores texts with one part of the model; the pass that has the common words also counts and spreads the words.
-
-    A row's number is of its partition and place in it: tables are read in the same partitions in every pass.
+
+def read_answers(folder: str, block: int) -> tuple[np.ndarray, np.ndarray, dict[bytes, float]]:
+    """(grams, sorted, their log10 probabilities, log10(count + 1) of the words that training has) of a block."""
+    fs, path = filesystem(f"{folder}/block={block}")
+    files = [x.path for x in fs.get_file_info(FileSelector(path)) if x.base_name.endswith(".parquet")]
+    table = pa.concat_tables([pq.read_table(x, filesystem=fs, partitioning=None) for x in files]).combine_chunks()
+    is_gram = table.column("gram").is_valid()
+    some, rest = table.filter(is_gram), table.filter(table.column("word").is_valid())
+    gram, value = some.column("gram").to_numpy().astype(np.uint64), some.column("value").to_numpy()
+    order = np.argsort(gram, kind="stable")
+    known = zip(rest.column("word").to_pylist(), np.log10(rest.column("value").to_numpy() + 1).tolist(), strict=True)
+    return gram[order], value[order], {w.encode(): v for w, v in known}
+
+
+def score(docs: DataFrame, id_column: str, text_column: str, held: Column, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte) of every row of docs.
+
+    score: log10 of the text's probability; bits_per_byte: its code length over the bytes of the text as modelled.
     """
+    ship(docs.sparkSession)
+    kind = docs.schema[id_column].dataType.simpleString()
+    texts = blocks(docs.select(F.col(id_column).alias("id"), held.alias("held_out"), F.col(text_column).alias("text")), block_bytes)
+    keys = key_counts(texts)
+    counts = stored(keys.filter("word IS NOT NULL").groupBy("word").agg(F.sum("n").alias("n")).filter("n > 0"), "words")
+    total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    predictions = model(stored(keys.filter("gram IS NOT NULL").groupBy("gram").agg(F.sum("n").alias("n")), "grams"))
+    run = _scored(answers(keys, predictions, counts), id_column, total, math.log10(total + distinct + 1))
+    return texts.select("block", "id", "held_out", "text").mapInArrow(run, f"`{id_column}` {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, bits_per_byte double")
+
+
+def _scored(folder: str, id_column: str, train_tokens: int, unit: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    names = [id_column, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, values, known = shared.value
-        uid = TaskContext.get().partitionId() << 40
-        head_type = None
-        for batch in (part for whole in batches for part in slices(whole, 2)):
-            if head_type is None:
-                head_type = pa.struct([("id", batch.column(0).type), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())])
-            text = batch.column(2).to_pylist()
-            for lo, hi in runs(np.array([len(x or "") for x in text], np.int64), 4 * CHUNK):
-                split = [words(x) for x in text[lo:hi]]
-                scores = text_scores([b" ".join(w) + END for w in split], keys, values)
-                tokens, ks, owners, n_tokens, n_known, base = [], [], [], [], [], []
-                for i, own in enumerate(split if known is not None else ()):
-                    sure, total = 0, 0.0
-                    own.append(END)
-                    for word, k in Counter(own).items():
-                        value = known.get(word)
-                        if value is None:
-                            tokens.append(word)
-                            ks.append(k)
-                            owners.append(uid + i)
-                        else:
-                            sure += k
-                            total += k * value
-                    n_tokens.append(len(own))
-                    n_known.append(sure)
-                    base.append(total)
-                n = hi - lo
-                nothing = np.zeros(n, np.int64)
-                part = [batch.column(0).slice(lo, n), batch.column(1).slice(lo, n), pa.array(n_tokens or nothing, pa.int64()), pa.array(n_known or nothing, pa.int64()), pa.array(base or nothing, pa.float64()), pa.array(scores)]
-                head = pa.StructArray.from_arrays([x.cast(f.type) for x, f in zip(part, head_type, strict=True)], fields=list(head_type))
-                uids = np.arange(uid, uid + n)
-                yield pa.RecordBatch.from_arrays([pa.array(uids), pa.array([f"\n{x}" for x in uids.tolist()]), pa.array(nothing), head], names=["uid", "token", "k", "head"])
-                if tokens:
-                    yield pa.RecordBatch.from_arrays([pa.array(owners, pa.int64()), pa.array(tokens, pa.binary()).cast(pa.string()), pa.array(ks, pa.int64()), pa.nulls(len(tokens), head_type)], names=["uid", "token", "k", "head"])
-                uid += n
+        block = None
+        for number, part in by_block(batches, 3):
+            if number != block:
+                block, (keys, values, known) = number, read_answers(folder, number)
+            split = [words(x) for x in part.column(3).to_pylist()]
+            streams = [b" ".join(w) + END for w in split]
+            scores = text_scores(streams, keys, values)
+            n_tokens, n_known, base = [], [], []
+            for own in split:
+                own.append(END)
+                found = [known[w] for w in own if w in known]
+                n_tokens.append(len(own))
+                n_known.append(len(found))
+                base.append(math.fsum(found) - len(own) * unit)
+            bits = -scores * math.log2(10) / np.array([len(x) for x in streams])
+            n = len(part)
+            yield pa.RecordBatch.from_arrays([part.column(1), part.column(2), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(np.full(n, train_tokens)), pa.array(base, pa.float64()), pa.array(scores), pa.array(bits)], names=names)
 
     return run

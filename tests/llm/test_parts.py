@@ -3,10 +3,12 @@
 import io
 import itertools
 import json
+import math
 import random
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -245,17 +247,38 @@ def test_context_tree_weighting(spark):
     stream = lambda t: b" ".join(ctw.words(t)) + ctw.END
     learnt = [stream(t) for d, t in docs if brute.crc(d) % 7 != 2]
     assert len(learnt) < len(docs)
-    for part_grams in (ctw.PART_GRAMS, 40):
-        got = {r["doc_id"]: r for r in ctw.score(df, "doc_id", "text", ctw.held_out("doc_id"), part_grams=part_grams, heavy=3).collect()}
+    for block_bytes, part in ((ctw.BLOCK_BYTES, df), (30, df), (30, df.orderBy(F.rand(3)))):
+        got = {r["doc_id"]: r for r in ctw.score(part, "doc_id", "text", ctw.held_out("doc_id"), block_bytes).collect()}
         for d, t in docs:
             assert got[d]["score"] == pytest.approx(_tree(learnt, ctw.DEPTH, stream(t)), rel=1e-5)
+            assert got[d]["bits_per_byte"] == pytest.approx(-got[d]["score"] * math.log2(10) / len(stream(t)))
         for d, *_, base in brute.language(docs):
             assert got[d]["base_score"] == pytest.approx(base, abs=1e-9)
 
 
+def test_blocks_of_texts(spark):
+    df = spark.createDataFrame([(i, "x" * n) for i, n in enumerate([5, 5, 50, 0, 3, 9, 9])] + [(7, None)], "id bigint, text string").coalesce(1)
+    of = {}
+    for r in ctw.blocks(df, 12).collect():
+        of.setdefault(r["block"], []).append(r["id"])
+    assert sorted(of.values()) == [[0, 1], [2], [3, 4, 5], [6, 7]]
+
+
+def test_subtrees_stay_whole():
+    gram = np.sort(np.random.default_rng(1).integers(0, 6, 400) << 24 | np.random.default_rng(2).integers(0, 90, 400))
+    batches = [pa.RecordBatch.from_arrays([pa.array(gram[i : i + 37]), pa.array(gram[i : i + 37] * 2)], names=["gram", "n"]) for i in range(0, 400, 37)]
+    pieces = list(ctw.subtrees(iter(batches), 100))
+    assert len(pieces) > 2 and np.array_equal(np.concatenate([p[0] for p in pieces]), gram) and all((p[1] == 2 * p[0]).all() for p in pieces)
+    assert all(a[0][-1] >> 24 != b[0][0] >> 24 for a, b in itertools.pairwise(pieces)) and list(ctw.subtrees(iter([]))) == []
+
+
 def test_ctw_probabilities_sum_to_one(spark):
-    rows = spark.createDataFrame([(False, "ab")] + [(True, "a" + chr(c)) for c in range(33, 127) if not chr(c).isupper()], "held_out boolean, text string")
-    p = {r["gram"]: 10 ** r["log10p"] for r in ctw.model(rows).collect()}
+    streams = [b"ab" + ctw.END] + [b"a" + bytes([c]) + ctw.END for c in range(33, 127)]
+    key, owner = ctw.grams(streams)
+    n = {}
+    for k, o in zip(key.tolist(), owner.tolist(), strict=True):
+        n[k] = n.get(k, 0) + (o == 0)
+    p = {r["gram"]: 10 ** r["log10p"] for r in ctw.model(spark.createDataFrame(list(n.items()), "gram bigint, n bigint")).collect()}
     after_a = [v for g, v in p.items() if (g >> 8).to_bytes(5, "big") == b"a\n\n\n\n"]
     assert 0.3 < sum(after_a) <= 1 + 1e-6 and max(after_a) == max(v for g, v in p.items() if (g >> 8).to_bytes(5, "big") == b"a\n\n\n\n" and g & 255 == ord("b"))
 
