@@ -6,10 +6,17 @@ in that table the two fingerprints agree: every pair within the radius collides
 
 Work is on distinct fingerprints. A bucket (the bits kept, their values) of at most BUCKET members yields the
 links of a spanning forest. A larger bucket is covered again over the bits that it leaves free, until it is
-small or has at most `radius` free bits, where all members are links of one. No bucket yields all its pairs.
+small. With 2**radius free bits or more, each table keeps one of them at least, so this ends; with fewer, a bucket
+has fewer than 2**(2**radius) members (128 at radius 3) and yields its forest, or, with at most `radius` of them,
+links of all members to one. No bucket yields all its pairs.
+
+Rows come back to their fingerprint's component through (fingerprint, salt) pairs, a salt being a hash of the row's
+id, so the rows of one fingerprint, however many, are dealt over SALTS places.
 
 Defined results: a null or wordless text has fingerprint zero and is linked like any other; equal texts link;
-repeated rows stay; a null doc_id never becomes a component_id unless its component has no other id (then null).
+repeated rows stay; a null doc_id never becomes a component_id unless its component has no other id (then null);
+texts of any length are taken whole, 32,768 shingles at a time; an empty table gives no rows; other columns,
+whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -28,6 +35,8 @@ from millrace.llm.components import components
 BITS, RADIUS, SHINGLE, SEED = 64, 3, 3, 42
 #: Members up to which a bucket is compared in one task.
 BUCKET = 256
+#: Places over which the rows of one fingerprint are dealt.
+SALTS = 1024
 ALL = (1 << BITS) - 1
 
 
@@ -90,7 +99,7 @@ def forest(fps: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int]]:
 
 
 def _bucket_links(members: DataFrame, radius: int) -> DataFrame:
-    """Links inside buckets of at most BUCKET members; members: mask, key, fp."""
+    """Links inside small buckets; members: mask, key, fp."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -129,13 +138,14 @@ def links(distinct: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> Da
         buckets = cut(members.groupBy("mask", "key").agg(F.count("*").alias("n"), F.min("fp").alias("lo"), F.max("fp").alias("hi")).filter("n > 1"))
         found.append(buckets.filter(f"n = 2 AND bit_count(lo ^ hi) <= {radius}").select(F.col("lo").alias("a"), F.col("hi").alias("b")))
         tight = f"bit_count(~mask) <= {radius}"
+        small = f"(n <= {bucket} OR bit_count(~mask) < {1 << radius})"
         many = buckets.filter("n > 2").withColumnRenamed("mask", "bmask").withColumnRenamed("key", "bkey")
         inside = members.join(many, (F.col("mask") == F.col("bmask")) & (F.col("key") == F.col("bkey"))).select("mask", "key", "fp", "n", "lo")
         found.append(inside.filter(f"{tight} AND fp != lo").select(F.col("fp").alias("a"), F.col("lo").alias("b")))
-        found.append(_bucket_links(inside.filter(f"NOT ({tight}) AND n <= {bucket}"), radius))
-        if buckets.filter(f"n > {bucket} AND NOT ({tight})").isEmpty():
+        found.append(_bucket_links(inside.filter(f"NOT ({tight}) AND {small}"), radius))
+        if buckets.filter(f"n > 2 AND NOT ({tight}) AND NOT {small}").isEmpty():
             break
-        members = cut(_refined(inside.filter(f"n > {bucket} AND NOT ({tight})"), radius))
+        members = cut(_refined(inside.filter(f"NOT ({tight}) AND NOT {small}"), radius))
     out = found[0]
     for more in found[1:]:
         out = out.union(more)
@@ -151,4 +161,7 @@ def near_duplicates(df: DataFrame, id_column: str, text_column: str, radius: int
     linked = star.union(star.select(F.col("root").alias("fp"), "root").distinct())
     smallest = linked.join(per, "fp").groupBy("root").agg(F.min("least").alias("component_id"))
     of_fp = per.join(linked.join(smallest, "root").select("fp", "component_id"), "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return rows.join(of_fp, "fp", "left").select(id_column, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64(id_column, F.monotonically_increasing_id()), F.lit(SALTS)).cast("int"))
+    per_salt = salted.select("fp", "salt").distinct().join(of_fp, "fp").select(F.col("fp").alias("s_fp"), F.col("salt").alias("s_salt"), "component_id")
+    found = salted.join(per_salt, (F.col("fp") == F.col("s_fp")) & (F.col("salt") == F.col("s_salt")))
+    return found.select(id_column, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
