@@ -24,6 +24,11 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
+def small(df: DataFrame, most: int) -> DataFrame:
+    """df with a broadcast hint if it has at most `most` rows; otherwise the planner shuffles it. df must be cheap to count."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def texts(column: pa.Array) -> list[str]:
     """Python strings of an Arrow column; null becomes the empty string."""
     return [x or "" for x in column.to_pylist()]
