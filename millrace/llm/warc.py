@@ -6,7 +6,11 @@ candidates too; they are rejected because no chain from the start of the file re
 its own chains to their exits from the range, and pointer jumping over those exits finds the one offset at which
 the file's true chain enters each range. Records are then read from the entries.
 
-Defined results: a null payload is empty; of rows with equal payloads the largest page_id's are responses (all of
+Ranges are dealt over a bounded number of tasks, each of which takes RANGES_BYTES of archive, or an even share where
+that would leave cores without work.
+
+Defined results: an empty table gives no archives and no rows; payloads of any length are written whole (one at a
+time in memory); other columns, whatever their names, are ignored; a null payload is empty; of rows with equal payloads the largest page_id's are responses (all of
 them, if that id repeats) and others are revisits of it; rows with a null page_id count as smallest, and are
 responses where no other row has their payload; a null url is written as urn:null.
 """
@@ -26,11 +30,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import cut, scratch_path, ship
+from millrace.llm.common import cut, scratch_path, ship, small
 from millrace.llm.storage import create, filesystem
 
 MAGIC, VERSION = b"\x1f\x8b\x08", b"WARC/1.0\r\n"
 SPLIT, PIECE, LEVEL = 4 << 20, 1 << 16, 6
+#: Bytes of archive that a reading task takes at least, where there are enough for all cores.
+RANGES_BYTES = 1 << 30
 #: Rows of (page, response) that are broadcast at most; beyond it the join shuffles.
 BROADCAST_ROWS = 200_000
 REVISIT = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
@@ -90,8 +96,7 @@ def write(pages: DataFrame, id_column: str, url_column: str, payload_column: str
     keys = rows.filter(F.octet_length("payload") >= least_bytes).select("id", "digest")
     shared = keys.groupBy("digest").agg(F.count("*").alias("n"), F.max("id").alias("first")).filter("n > 1 AND first IS NOT NULL").select(F.col("digest").alias("of"), "first")
     later = cut(keys.join(shared, F.col("digest") == F.col("of")).filter("NOT (id <=> first)").select(F.col("id").alias("r_id"), "of", "first").distinct())
-    few = later.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    decided = rows.join(F.broadcast(later) if few else later, F.col("id").eqNullSafe(F.col("r_id")) & (F.col("digest") == F.col("of")), "left").select("id", "url", "payload", "first")
+    decided = rows.join(small(later, BROADCAST_ROWS), F.col("id").eqNullSafe(F.col("r_id")) & (F.col("digest") == F.col("of")), "left").select("id", "url", "payload", "first")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         file, path = None, f"{folder}/{uuid.uuid4().hex}.warc.gz"
@@ -154,6 +159,11 @@ def exits(found: list[tuple[int, int]], end: int) -> list[int]:
     return [leaves[offset] for offset, _ in found]
 
 
+def task_count(spark: SparkSession, ranges: int, split: int) -> int:
+    """Tasks for so many byte ranges: no more than ranges, and, beyond four a core, one for RANGES_BYTES."""
+    return max(1, min(ranges, max(4 * spark.sparkContext.defaultParallelism, -(-ranges * split // RANGES_BYTES))))
+
+
 def entries(archives: DataFrame, split: int = SPLIT) -> DataFrame:
     """(path, size, entry, end): for each byte range that the file's true chain enters, where, and the range's end.
 
@@ -175,7 +185,7 @@ def entries(archives: DataFrame, split: int = SPLIT) -> DataFrame:
                     found = successors(file, task["start"], end)
                 yield pa.RecordBatch.from_arrays([pa.array([task["path"]] * len(found), pa.string()), pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64()), pa.array(exits(found, end), pa.int64())], names=["path", "offset", "successor", "exit"])
 
-    candidates = cut(ranges.repartition(n).mapInArrow(run, "path string, offset bigint, successor bigint, exit bigint"))
+    candidates = cut(ranges.repartition(task_count(spark, n, split)).mapInArrow(run, "path string, offset bigint, successor bigint, exit bigint"))
     # only a candidate at which some range's chain arrives, or a file starts, can be an entry
     arrivals = candidates.select("path", F.col("exit").alias("offset")).union(archives.select("path", F.lit(0).cast("bigint"))).filter("offset >= 0").distinct()
     jump = cut(arrivals.join(candidates.select("path", "offset", F.col("exit").alias("to")), ["path", "offset"]))
@@ -238,7 +248,7 @@ def read(archives: DataFrame, split: int = SPLIT, payloads: bool = False) -> Dat
 
     schema = "page_id bigint, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint" + ", payload binary" * payloads
     ship(spark)
-    return starts.repartition(max(1, starts.count())).mapInArrow(run, schema)
+    return starts.repartition(task_count(spark, starts.count(), split)).mapInArrow(run, schema)
 
 
 def oracle_sql() -> str:
