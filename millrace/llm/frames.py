@@ -5,8 +5,9 @@ at the width that the block's PERCENTILE smallest differences need; larger ones
 exception list. The footer indexes the block starts, so any range of ids is read without what precedes it,
 and lists the documents with their numbers of ids.
 
-Defined results: a null text has only the end id; documents that tie in doc_id follow their texts; a null
-doc_id sorts first; an empty table gives no files and no rows.
+Defined results: a null text has only the end id; documents that tie in doc_id follow their texts' XXH64, then
+their texts; a null doc_id sorts first; rows that repeat are stored each; an empty table gives no files and no rows;
+texts of any length are encoded whole; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -157,7 +158,9 @@ def write_ids(docs: DataFrame, id_column: str, text_column: str, vocabulary_path
     spark = docs.sparkSession
     ship(spark)
     folder = folder or scratch_path(spark, "ids")
-    ordered = docs.select(F.col(id_column).cast("bigint").alias("id"), F.col(text_column).alias("text")).repartitionByRange("id").sortWithinPartitions("id", "text")
+    ordered = docs.select(F.col(id_column).cast("bigint").alias("id"), F.col(text_column).alias("text")).withColumns({"th": F.xxhash64("text"), "nth": F.monotonically_increasing_id()})
+    # rows of one id, or of no id, may be many: they are split by text hash, and equal rows, which any order serves, by place
+    ordered = ordered.repartitionByRange("id", "th", "nth").sortWithinPartitions("id", "th", "text").select("id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, file, docs_in, ids_in = vocabulary(vocabulary_path), None, 0, 0
