@@ -6,7 +6,8 @@ word's lowest rank and merges all its occurrences, from the left; words without
 Words that were met before come from a bounded memo, so a batch costs merges only for new words.
 
 Defined results: a null text is the empty text and has no ids; strings of special tokens inside a text
-become those tokens' ids, as the tokenizers library does by default; a repeated row gives equal rows.
+become those tokens' ids, as the tokenizers library does by default; a repeated row gives equal rows; texts of any
+length are encoded whole, an empty table gives no rows, and other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations

@@ -5,7 +5,9 @@ set, which paths hold roles and texts; a fingerprint selects its declaration wit
 
 Defined results: null texts and roles are empty; turns that tie in (conversation, turn) follow role, then
 text; repeated rows are repeated turns; a null conversation id is a conversation of its own; records of an
-unknown fingerprint (or no JSON) give no turns but keep a row with a null layout in `canonical_turns`.
+unknown fingerprint (or no JSON) give no turns but keep a row with a null layout in `canonical_turns`; texts of any
+length are formatted whole, a turn at a time; an empty table gives no rows; other columns, whatever their names, are
+ignored. A conversation's turns are formatted in order by one task, which streams over them.
 """
 
 from __future__ import annotations
