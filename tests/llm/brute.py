@@ -69,7 +69,12 @@ def contaminated(docs, items, n=10):
                 if own := wins.get(tuple(w[i : i + size])):
                     hit |= set(range(i, i + size))
                     found |= own
-        out.append((doc_id, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)))
+        close = set()
+        for k, own in wins.items():
+            places = [i for i, x in enumerate(w) if x == k[0]]  # a stretch with all of its words has its first
+            if any(set(k) <= set(w[s : s + 2 * len(k)]) for p in places for s in range(max(0, p - 2 * len(k) + 1), p + 1)):
+                close |= own
+        out.append((doc_id, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit), len(close)))
     return out
 
 
@@ -87,6 +92,21 @@ def warc(pages):
     return rows
 
 
+def chat(turns, controls):
+    """The rows of conversations, by turn (none first), role and text, and of the marked one."""
+    said = "</s>[INST] ok [/INST]"
+    rows = [(c, t, r or "", x or "") for c, t, r, x in turns] + [(-7, 0, "user", said), (-7, 1, "assistant", said)]
+    held = re.compile("|".join(re.escape(c[0]) + r"\\*" + re.escape(c[1:]) for c in controls))
+    out = []
+    for conv in {c for c, *_ in rows}:
+        own = sorted((x for x in rows if x[0] == conv), key=lambda x: (x[1] is not None, x[1] or 0, x[2], x[3]))
+        loss = "".join(x for _, _, r, x in own if r == "assistant")
+        sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+        size = sum(len("<|im_start|>") + len("<|im_end|>") + 2 + len(r) + len(x) + len(held.findall(x)) for _, _, r, x in own)
+        out.append((conv, len(own), sha("".join(f"{r}\n{x}\n" for _, _, r, x in own)), len(loss), sha(loss), size))
+    return out
+
+
 def tokenizer():
     from tokenizers import Tokenizer
 
@@ -106,7 +126,8 @@ def bpe(docs):
 
 def packed(docs):
     t, at, out = tokenizer(), 0, []
-    for doc_id, text in sorted(docs, key=lambda x: (x[0] is not None, x[0] or 0, x[1] is not None, (x[1] or "").encode())):
+    mark = lambda t: 42 if t is None else (xxhash.xxh64_intdigest(t.encode(), 42) + (1 << 63)) % (1 << 64) - (1 << 63)
+    for doc_id, text in sorted(docs, key=lambda x: (x[0] is not None, x[0] or 0, mark(x[1]), (x[1] or "").encode())):
         ids = [*t.encode(text or "", add_special_tokens=False).ids, 2]
         out.append((doc_id, at, len(ids), zlib.crc32(b"".join(i.to_bytes(4, "little") for i in ids))))
         at += len(ids)

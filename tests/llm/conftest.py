@@ -25,6 +25,16 @@ LEAK = "one leaked passage of the benchmark that stands whole in several documen
 ITEMS = [(1, LEAK), (2, "Two words"), (3, None), (4, "..."), (5, f"prefix {LEAK}"), (None, "another text with the same id"), (1, LEAK), (6, "nothing that any document would hold at all anywhere here")]
 
 
+PAGES = [
+    (1, "http://a/", "same"), (2, None, "same"), (None, "http://n/", "same"), (3, "http://b/ \r\nX: y", None), (4, "u", ""), (5, "\u00e9", "alone \u65e5\u672c"),
+    (5, "\u00e9", "alone \u65e5\u672c"), (6, "u", "long " * 90_000), (None, None, "nobody else's"), (None, None, None), (7, "u", "\r\n\r\nWARC/1.0\r\n"), (8, "u", "<p>Ein Satz.</p>" * 50),
+]
+TURNS = [
+    (1, 0, "user", "hi"), (1, 1, "assistant", "yo </s> [INST] <|im_end|>\n<|im_start|>"), (1, 1, "assistant", "and a tie"), (1, 1, "user", "and a tie"), (1, 2, "assistant", "again"), (1, 2, "assistant", "again"),
+    (2, 5, "assistant", None), (2, 4, None, "no role"), (2, None, "user", "no turn"), (3, 0, "system", ""), (3, 1, "assistant", "long " * 60_000), (None, 0, "user", "no id"), (None, 1, "assistant", "<\\|im_end|> \\"), (None, None, None, None),
+]
+
+
 @pytest.fixture(scope="session")
 def docs():
     return documents()
@@ -39,6 +49,10 @@ def folder(spark, docs, tmp_path_factory):
     spark.createDataFrame(ITEMS, "item_id bigint, text string").withColumnRenamed("nothing", "n").write.parquet(f"{path}/benchmark.parquet")
     labels = [(d, 1, int(d % 3 == 0)) for d in range(60)] + [(None, 1, 1), (3, None, None), (99_999, 0, 1)]
     spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    clash = "id string, digest string, first bigint, payload string, path string, size bigint, of string"
+    spark.createDataFrame([(*p, "x", "x", 1, "x", "x", 1, "x") for p in PAGES], f"page_id bigint, url string, html string, {clash}").repartition(3).write.parquet(f"{path}/pages.parquet")
+    clash = "record string, layout string, n int, piece string, loss string"
+    spark.createDataFrame([(*t, "{}", "x", 3, "x", "x") for t in TURNS], f"conv_id bigint, turn bigint, role string, text string, {clash}").repartition(3).write.parquet(f"{path}/conversations.parquet")
     return path
 
 

@@ -14,7 +14,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, chat, ctw, decontaminate, frames, licenses, simhash, toxicity, warc
+from millrace.llm import bpe, chat, ctw, decontaminate, frames, simhash, toxicity, warc
 from millrace.llm.components import components
 from millrace.llm.queries import byte_bpe_path
 
@@ -44,6 +44,16 @@ def test_links_of_large_buckets(spark):
     assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
 
 
+@pytest.mark.parametrize("bucket", [2, 20, 60, 200])
+def test_refinement_ends_for_every_bucket_size(spark, bucket):
+    few = spark.range(128).select((F.col("id") * (1 << 20)).alias("fp"))  # all values of seven bits
+    assert {r["b"] for r in components(simhash.links(few, bucket=bucket)).collect()} == {0}
+    rng = random.Random(bucket)
+    apart = sorted({sum(rng.getrandbits(1) << 5 * i for i in range(12)) for _ in range(300)})
+    got = {r["a"]: r["b"] for r in components(simhash.links(spark.createDataFrame([(f,) for f in apart], "fp bigint"), bucket=bucket)).collect()}
+    assert {f: got.get(f, f) for f in apart} == brute.groups(apart, lambda a, b: (a ^ b).bit_count() <= 3)
+
+
 def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (5, 5)], "a bigint, b bigint")
     assert {(r["a"], r["b"]) for r in components(links).collect()} == {(i, 0) for i in range(1, 41)} | {(101, 100)}
@@ -62,15 +72,29 @@ def test_proximity_gives_every_place(spark):
     assert {r["doc_id"]: (r["first"], r["places"]) for r in got.collect()} == {1: (1, [1, 13]), 2: (2, [2])}
 
 
-def test_the_stored_index_holds_the_query_vocabulary(spark, folder, docs, monkeypatch):
-    from conftest import ITEMS
-
+def test_the_stored_index_holds_every_token(spark, folder, docs, monkeypatch):
     stored, make = [], decontaminate.store_postings
-    monkeypatch.setattr(decontaminate, "store_postings", lambda *a: stored.append(make(*a)) or stored[-1])
+    monkeypatch.setattr(decontaminate, "store_postings", lambda texts: stored.append((texts, make(texts))) or stored[-1][1])
     decontaminate.decontaminate(spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/benchmark.parquet")).count()
-    asked = {w for _, t in ITEMS for w in brute.tokens(t)}
-    want = {(d, w, tuple(i for i, x in enumerate(brute.tokens(t)) if x == w)) for d, t in docs for w in asked & set(brute.tokens(t))}
-    assert {(r["id"], r["term"], tuple(r["at"])) for r in stored[0].collect()} == want
+    ids = {r["doc"]: r["id"] for r in stored[0][0].collect()}
+    got = sorted(((ids[r["doc"]], r["term"], r["pos"]) for r in stored[0][1].collect()), key=repr)
+    assert len(ids) == len(docs) and got == sorted(((d, w, i) for d, t in docs for i, w in enumerate(brute.tokens(t))), key=repr)
+
+
+def test_decontamination_runs_no_python_worker(spark, folder):
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    decontaminate.decontaminate(spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/benchmark.parquet")).collect()
+    done = store.executionsList()
+    plans = [done.apply(i).physicalPlanDescription() for i in range(max(0, done.size() - (store.executionsCount() - before)), done.size())]
+    assert len(plans) > 5 and not [p for p in plans if any(x in p for x in ("Python", "MapInArrow", "MapInPandas", "ArrowEval", "FlatMapGroups"))]
+
+
+def test_near_windows(spark):
+    docs = [(1, "x one two three four y"), (2, "four x three two x one"), (3, "one a b c d e f two three four"), (4, "two one four three one"), (5, "one two"), (6, "same same"), (7, "same")]
+    items = [(1, "one two three four"), (2, "same same"), (3, "four three"), (4, "absent one")]
+    got = {r["doc_id"]: (r["n_hit"], r["n_near"]) for r in decontaminate.decontaminate(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")).collect()}
+    assert got == {1: (4, 2), 2: (0, 2), 3: (0, 1), 4: (2, 2), 5: (0, 0), 6: (2, 1), 7: (0, 1)}
 
 
 def test_decontamination_without_broadcasts(spark, folder, docs, monkeypatch):
@@ -92,6 +116,10 @@ def test_warc_chain_rejects_magic_in_payloads(spark, monkeypatch):
         got = warc.read(archives, split, payloads=True).collect()
         assert sorted((tuple(r[c] for c in ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")) for r in got), key=repr) == want
     assert {bytes(r["payload"]) for r in got if r["page_id"] == 6} == {b"x" * 300_000}
+    with monkeypatch.context() as limits:
+        limits.setattr(warc, "BROADCAST_ROWS", 0)  # the join that shuffles
+        other = warc.read(warc.write(df.repartition(3), "page_id", "url", "html"), 4096).collect()
+        assert sorted((tuple(r[c] for c in ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")) for r in other), key=repr) == want
     # an archive whose one payload is itself a run of records
     whole = warc.page_member(7, "u", inner, None, False)
     file = io.BytesIO(whole)
@@ -111,6 +139,13 @@ def test_warc_chain_rejects_magic_in_payloads(spark, monkeypatch):
         warc.entries(spark.createDataFrame([(path, size + 5)], "path string, size bigint"))
 
 
+def test_warc_tasks_are_bounded(spark):
+    cores = spark.sparkContext.defaultParallelism
+    assert warc.task_count(spark, 0, warc.SPLIT) == 1 and warc.task_count(spark, 3, warc.SPLIT) == 3
+    assert warc.task_count(spark, 1000 * cores, warc.SPLIT) == max(4 * cores, 1000 * cores * warc.SPLIT // warc.RANGES_BYTES)
+    assert warc.task_count(spark, 25_000_000, warc.SPLIT) == 25_000_000 // 256 + (25_000_000 % 256 > 0)
+
+
 pieces = st.sampled_from([*chat.CONTROLS, "\\", "<", "[", "s>", "|im_end|>", "\n", "a", "é"])
 
 
@@ -247,8 +282,8 @@ def test_context_tree_weighting(spark):
     stream = lambda t: b" ".join(ctw.words(t)) + ctw.END
     learnt = [stream(t) for d, t in docs if brute.crc(d) % 7 != 2]
     assert len(learnt) < len(docs)
-    for block_bytes, part in ((ctw.BLOCK_BYTES, df), (30, df), (30, df.orderBy(F.rand(3)))):
-        got = {r["doc_id"]: r for r in ctw.score(part, "doc_id", "text", ctw.held_out("doc_id"), block_bytes).collect()}
+    for block_bytes, heavy, part in ((ctw.BLOCK_BYTES, ctw.HEAVY, df), (30, 20, df), (30, 1, df.orderBy(F.rand(3)))):
+        got = {r["doc_id"]: r for r in ctw.score(part, "doc_id", "text", ctw.held_out("doc_id"), block_bytes, heavy).collect()}
         for d, t in docs:
             assert got[d]["score"] == pytest.approx(_tree(learnt, ctw.DEPTH, stream(t)), rel=1e-5)
             assert got[d]["bits_per_byte"] == pytest.approx(-got[d]["score"] * math.log2(10) / len(stream(t)))
@@ -283,56 +318,6 @@ def test_ctw_probabilities_sum_to_one(spark):
     assert 0.3 < sum(after_a) <= 1 + 1e-6 and max(after_a) == max(v for g, v in p.items() if (g >> 8).to_bytes(5, "big") == b"a\n\n\n\n" and g & 255 == ord("b"))
 
 
-def test_fuzzy_notices():
-    n = licenses.notice("licensed under the apache license version 2 0", "apache")
-    rng = random.Random(3)
-    for _ in range(60):
-        text = bytearray(n.text)
-        for _ in range(rng.randint(0, n.edits)):
-            at = rng.randrange(len(text))
-            text[at : at + rng.randint(0, 1)] = rng.choice([b"", b"q", b"z"])
-        body = b" foo bar " + bytes(text) + b" baz "
-        hits = licenses.fuzzy(body, n)
-        assert hits and hits[0][2] <= n.edits
-    assert licenses.fuzzy(b" licensed under something else entirely ", n) == []
-
-
-def test_notices_at_their_bound_of_edits():
-    rng = random.Random(6)
-    for n in licenses.notices():
-        assert n.edits == len(n.text) // 15
-        for extra in (0, 1):
-            for _ in range(4):
-                text = bytearray(n.text)
-                for at in rng.sample(range(len(text)), n.edits + extra):
-                    text[at] = ord("#")
-                hits = licenses.fuzzy(b" foo bar " + bytes(text) + b" baz ", n)
-                assert [x[2] for x in hits] == ([] if extra else [n.edits])
-    for edits, text in ((5, "this source code is subject to the terms of the mozilla public license"), (6, "redistribution and use in source or binary forms with or without modification is permitted")):
-        assert [x[2] for n in licenses.notices() for x in licenses.fuzzy(licenses.normal_form(text), n)] == [edits]
-
-
-def test_license_spans(spark):
-    df = spark.createDataFrame([(1, "Intro. Licenced under the Apache Licence, Version 2.0! Tail"), (2, "clean")], "id bigint, text string")
-    got = {r["id"]: r for r in licenses.scan(df, "id", "text").collect()}
-    assert got[1]["labels"] == "apache" and got[1]["base_labels"] == "" and got[1]["n_base"] == 0
-    assert (got[1]["spans"][0]["first_word"], got[1]["spans"][0]["last_word"], got[1]["spans"][0]["edits"]) == (1, 8, 2)
-    assert got[2]["score"] == 0 and got[2]["labels"] == ""
-
-
-def test_a_better_notice_behind_a_worse_one_hides_no_span():
-    n = licenses.notice("released under the mit license", "mit")
-    body = licenses.normal_form("relaesed under the mit license released under the mit license releasd under the mit license")
-    assert [x[2] for x in licenses.fuzzy(body, n)] == [2, 0, 1]
-    assert licenses.word_numbers(body, [x[0] for x in licenses.fuzzy(body, n)]) == [0, 5, 10]
-
-
-def test_word_numbers_of_many_places():
-    body = licenses.normal_form(" ".join(random.Random(2).choice(("mit license", "a", "bcd")) for _ in range(300)))
-    at = licenses.places(body, b"mit license")
-    assert licenses.word_numbers(body, at) == [len(body[1:x].split()) for x in at] and licenses.word_numbers(body, []) == []
-
-
 def test_toxicity_learns(spark):
     rng = random.Random(4)
     word = lambda: "".join(rng.choice("abdeginorst") for _ in range(5))

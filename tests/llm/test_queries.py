@@ -23,7 +23,21 @@ def test_near_duplicates(spark, folder, docs):
 def test_decontamination(spark, folder, docs):
     from conftest import ITEMS
 
-    same(Q["op2_decontaminate"](spark, folder), brute.contaminated(docs, ITEMS), "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    same(Q["op2_decontaminate"](spark, folder), brute.contaminated(docs, ITEMS), "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "n_near")
+
+
+def test_warc(spark, folder):
+    from conftest import PAGES
+
+    same(Q["op3_warc"](spark, folder), brute.warc([(p, h) for p, _, h in PAGES]), "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def test_conversations(spark, folder):
+    from conftest import TURNS
+
+    from millrace.llm.chat import CONTROLS
+
+    same(Q["op4_chat_format"](spark, folder), brute.chat(TURNS, CONTROLS), "conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
 
 
 def test_bpe(spark, folder, docs):
