@@ -6,6 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def next_power_of_two(n: Column) -> Column:
+    """The smallest power of two that is not below n; 1 for n below 2."""
+    return F.when(n < 2, F.lit(1).cast("bigint")).otherwise(F.pow(F.lit(2.0), F.length(F.bin(n - 1))).cast("bigint"))
+
+
 def pack_code(code: Column) -> Column:
     """One to four ASCII characters as a big-endian int, zero bytes behind; any other length fails."""
     byte = lambda i: F.when(F.length(code) > i, F.ascii(F.substring(code, i + 1, 1))).otherwise(0)

@@ -31,8 +31,3 @@ def squared_distance(a: Column, b: Column) -> Column:
 def nearest(x: Column, centers: Sequence[Sequence[float]]) -> Column:
     """struct<d, k> of the closest center; ties go to the lowest k, NaN distances lose."""
     return F.array_min(F.array(*(F.struct(squared_distance(x, literal(c)).alias("d"), F.lit(k).alias("k")) for k, c in enumerate(centers))))
-
-
-def logistic_coefficient(margin: Column, y: Column) -> Column:
-    """(1 / (1 + exp(-y * margin)) - 1) * y: what a point's vector is multiplied with in the gradient."""
-    return (F.lit(1.0) / (F.lit(1.0) + F.exp(-y * margin)) - 1.0) * y

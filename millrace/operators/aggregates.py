@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.functions.draws import seeded_hash
+
 
 def count_by(df: DataFrame, column: str) -> DataFrame:
     """(column, n): rows per value, combined before the shuffle."""
@@ -27,6 +29,11 @@ def trade_totals(trades: DataFrame, wrap: bool = False) -> DataFrame:
     return out.select(*(F.when(low(c) >= half, low(c) - m).otherwise(low(c)).cast("bigint").alias(c) for c in ("buy_cost", "sell_cost")))
 
 
+def insertion_order(writes: DataFrame, key: str, order: str) -> DataFrame:
+    """(key, first_at): each key with its first write, by which a scan in order of insertion sorts."""
+    return writes.groupBy(key).agg(F.min(order).alias("first_at"))
+
+
 def upsert_latest(writes: DataFrame, key: str, order: str, columns: list[str]) -> DataFrame:
     """A row per key with each column's last value that was written; a null is a column not written."""
     return writes.groupBy(key).agg(*(F.max_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(c) for c in columns))
@@ -34,4 +41,4 @@ def upsert_latest(writes: DataFrame, key: str, order: str, columns: list[str]) -
 
 def take_sample(df: DataFrame, k: int, seed: int, id_column: str) -> DataFrame:
     """Exactly k rows (all if there are fewer), without replacement: those whose seeded hash of the id is smallest."""
-    return df.orderBy(F.xxhash64(F.lit(seed), F.col(id_column)), id_column).limit(k)
+    return df.orderBy(seeded_hash(seed, F.col(id_column)), id_column).limit(k)

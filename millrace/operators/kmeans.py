@@ -2,22 +2,31 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from millrace.functions.vectors import nearest
 from millrace.operators.partials import matrix, summed
+from millrace.runtime import ship
 
 
 def assign(points: DataFrame, centers: Sequence[Sequence[float]]) -> DataFrame:
-    """Adds k (nearest center; ties to the lowest) and d (squared distance)."""
-    best = points.withColumn("_best", nearest(F.col("x"), centers))
-    return best.withColumns({"k": F.col("_best.k"), "d": F.col("_best.d")}).drop("_best")
+    """Adds k (nearest center; ties to the lowest) and d (squared distance). The plan doesn't grow with the centers."""
+    ship(points.sparkSession)
+    table, at = np.asarray(centers, np.float64), points.columns.index("x")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in points.schema.fields)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = matrix(batch.column(at), table.shape[1])
+            own = _nearest(x, table)
+            d = ((x - table[own]) ** 2).sum(1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own, pa.int32()), pa.array(d)], names=[*batch.schema.names, "k", "d"])
+
+    return points.mapInArrow(run, f"{schema}, k int, d double")
 
 
 def _nearest(x: np.ndarray, centers: np.ndarray) -> np.ndarray:

@@ -29,7 +29,7 @@ def gradient(points: DataFrame, w: Sequence[float]) -> np.ndarray:
 def fit(points: DataFrame, initial: Sequence[float], iterations: int, level: StorageLevel = StorageLevel.MEMORY_AND_DISK) -> np.ndarray:
     """The weights after the iterations. Chained calls go on: pass the weights of one as the next one's initial."""
     points = points.select("x", "y").persist(level)
-    if points.isEmpty():
+    if not points.count():  # fills the cache, too
         raise ValueError("no points")
     w = np.array(initial, np.float64)
     for _ in range(iterations):

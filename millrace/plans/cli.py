@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.operators import aggregates, graph, kmeans, logreg
+from millrace.plans import harness
 from millrace.runtime import session
 from millrace.sources import generators, text
 
@@ -45,7 +46,23 @@ def _generate(spark: SparkSession, a: argparse.Namespace) -> None:
 
 def _vectors(spark: SparkSession, a: argparse.Namespace) -> None:
     rows: DataFrame = text.vectors(text.lines(spark, a.input), a.dim).withColumn("id", F.monotonically_increasing_id())
-    text.write_points(text.random_labels(rows, a.seed) if a.labelled else rows, a.output)
+    text.write_points(text.random_labels(rows, a.seed, "id") if a.labelled else rows, a.output)
+
+
+def _harness(spark: SparkSession, a: argparse.Namespace) -> dict:
+    return harness.ALL[a.which](spark, a.rows, a.dim, a.iterations)
+
+
+def _upserts(spark: SparkSession, a: argparse.Namespace) -> dict:
+    """Two maps: writes to one column, and writes to one or both of two columns."""
+    one = [(1, 1.0, None), (1, 1.1, None), (2, 2.0, None), (3, 3.0, None), (4, 4.0, None), (2, 2.1, None)]
+    two = [(1, 1.0, 1111), (2, 2.1, 2222), (3, 3.0, 3000), (4, 4.0, 4000), (5, 5.0, None), (5, None, 5555), (6, 6.0, 6000), (6, 6.1, None)]
+    found = {}
+    for name, writes in (("one", one), ("two", two)):
+        df = spark.createDataFrame([(i, *w) for i, w in enumerate(writes)], "seq int, key int, v1 double, v2 bigint")
+        latest = aggregates.upsert_latest(df, "key", "seq", ["v1", "v2"]).join(aggregates.insertion_order(df, "key", "seq"), "key")
+        found[name] = [[r["key"], r["v1"], r["v2"]] for r in latest.orderBy("first_at").collect()]
+    return found
 
 
 def _trades(spark: SparkSession, a: argparse.Namespace) -> dict:
@@ -77,6 +94,8 @@ def parser() -> argparse.ArgumentParser:
     job("symmetric", _symmetric, "input", "output", partitions=None)
     job("generate", _generate, "dim", "rows", "slices", "output", seed=42, labelled=True)
     job("vectors", _vectors, "input", "dim", "output", seed=42, labelled=True)
+    job("harness", _harness, "which", "rows", "dim", "iterations")
+    job("upserts", _upserts)
     job("trades", _trades, rows=50_000_000, runs=5, wrap=False)
     return top
 

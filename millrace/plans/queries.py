@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.functions.codes import pack_code
+from millrace.functions import vectors
+from millrace.functions.codes import next_power_of_two, pack_code
 from millrace.operators import aggregates, graph, kmeans, logreg
 from millrace.runtime import scratch_path
 from millrace.sources import generators, text
@@ -59,7 +60,10 @@ def pagerank_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pagerank_float(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _ranks(graph.pagerank(transition_edges(spark, sf_dir), 3, single=True), 3)
+    """32-bit ranks: rounded coarsely, beside whether each is a number of 32 bits."""
+    ranks = graph.pagerank(transition_edges(spark, sf_dir), 3, single=True)
+    kind = ranks.schema["rank"].dataType.simpleString()
+    return ranks.select(F.col("id").cast("bigint").alias("id"), F.round(F.col("rank").cast("double"), 3).alias("rank"), F.lit(kind).alias("kind"))
 
 
 def adjacency_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -197,18 +201,71 @@ def gen_points_seeded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def gen_points_blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return generators.blob_points(spark, 1000, 8, 4).select("id", F.posexplode("x").alias("j", "v"), "y")
+    points = generators.blob_points(spark, 1000, 8, 4).select("id", F.posexplode("x").alias("j", "v"), "y")
+    return points.select("id", F.col("j").cast("bigint").alias("j"), F.round("v", 6).alias("v"), "y")
+
+
+def gen_points_unlabelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = generators.blob_points(spark, 500, 4, 3, seed=7, labelled=False).select("id", F.posexplode("x").alias("j", "v"))
+    return points.select("id", F.col("j").cast("bigint").alias("j"), F.round("v", 6).alias("v"))
 
 
 def random_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text.random_labels(_table(spark, sf_dir, "embeddings").select("vec_id"), 42)
+    return text.random_labels(_table(spark, sf_dir, "embeddings").select("vec_id"), 42, "vec_id")
+
+
+def _token_lines(spark: SparkSession, sf_dir: str) -> str:
+    """A folder of text with a line of integers per order line."""
+    path = scratch_path(spark, "tokens")
+    numbers = [F.col(c).cast("bigint").cast("string") for c in ("l_partkey", "l_suppkey", "l_quantity")]
+    _table(spark, sf_dir, "lineitem").select(F.concat_ws("  ", *numbers).alias("value")).write.text(path)
+    return path
+
+
+def token_text_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Integers of text lines, counted."""
+    return aggregates.count_by(text.tokens(text.lines(spark, _token_lines(spark, sf_dir))), "token")
+
+
+def text_scan_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of text dealt over six partitions: how many there are, and how many lines they hold."""
+    dealt = text.lines(spark, _token_lines(spark, sf_dir), 6).groupBy(F.spark_partition_id().alias("part")).agg(F.count("*").alias("n"))
+    return dealt.agg(F.count("*").alias("parts"), F.sum("n").alias("lines"))
+
+
+def vector_space_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of numbers between white space, of any length, as vectors."""
+    written = _table(spark, sf_dir, "orders").select(F.concat_ws(" ", F.col("o_orderkey").cast("string"), (F.col("o_custkey") / 4).cast("string"), F.lit("-1.5e2")).alias("value"))
+    return text.space_vectors(written).select(F.col("x")[0].alias("x0"), F.col("x")[1].alias("x1"), F.col("x")[2].alias("x2"), F.size("x").alias("n"))
+
+
+def vector_arithmetic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """x + x / 2, by component."""
+    x = F.col("x")
+    summed = labelled_vectors(spark, sf_dir).select("id", F.posexplode(vectors.add(x, vectors.scale(x, 0.5))).alias("j", "v"))
+    return summed.select("id", F.col("j").cast("bigint").alias("j"), F.round("v", 6).alias("v"))
+
+
+def upsert_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys with their places in a scan in order of insertion."""
+    first = aggregates.insertion_order(_table(spark, sf_dir, "events"), "user_id", "event_id")
+    return first.select("user_id", "first_at")
+
+
+def power_of_two(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "part").select("p_partkey", next_power_of_two(F.col("p_partkey")).alias("capacity"))
+
+
+def initial_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame([(j, w) for j, w in enumerate(generators.initial_weights(10))], "j bigint, w double").select("j", F.round("w", 12).alias("w"))
 
 
 QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     pagerank_transitions, pagerank_parts, pagerank_raw, pagerank_float, adjacency_lists, out_degree, graph_stats, edges_symmetric_distinct, int_count, token_count,
     edge_text_parse, vector_text_parse, trade_totals, lr_embeddings, lr_deterministic, lr_gradient, lr_predict_margin, kmeans_embeddings, kmeans_assign, kmeans_delta,
     upsert_latest, gen_trades, gen_points_det, pack_codes, take_sample, trade_totals_wrapped, edge_text_round_trip, pair_text_lines, points_round_trip,
-    gen_points_seeded, gen_points_blobs, random_labels,
+    gen_points_seeded, gen_points_blobs, gen_points_unlabelled, random_labels, token_text_count, text_scan_partitions, vector_space_parse, vector_arithmetic,
+    upsert_scan, power_of_two, initial_weights,
 )
 
 
@@ -257,11 +314,21 @@ _COST = "sum(CASE WHEN l_linestatus {0} 'O' THEN l_partkey::HUGEINT * 1000000000
 _START = f"SELECT j, 0.01e0 * j - 0.3e0 AS w FROM range({DIM}) t(j)"
 _DET_POINTS = "SELECT i AS id, j, i * 0.000013e0 + j * 0.00079e0 + (i % 2) * 0.00007e0 AS v, (i % 2)::DOUBLE AS y FROM range({n}) a(i), range({dim}) b(j)"
 
+#: A number in (0, 1) of an id, a seed and the place of eight digits in their digest.
+_UNIFORM = "((('0x' || substr(md5('{1}:' || {0}), {2}, 8))::UBIGINT::DOUBLE + 0.5e0) / 4294967296e0)"
+
+
+def _blobs_sql(n: int, dim: int, seed: int, label: str) -> str:
+    draw = "id || ':' || j"
+    normal = f"sqrt(-2.0e0 * ln({_UNIFORM.format(draw, seed, 1)})) * cos(2 * 3.141592653589793e0 * {_UNIFORM.format(draw, seed, 9)})"
+    return f"SELECT id, j, round({normal} + 0.7e0 * (CASE WHEN id % 2 = 0 THEN -1 ELSE 1 END), 6) AS v{label} FROM range({n}) a(id), range({dim}) b(j)"
+
+
 ORACLE_SQL = {
     "pagerank_transitions": _pagerank_sql(_TRANSITIONS, 5),
     "pagerank_parts": _pagerank_sql(_PARTS, 2),
     "pagerank_raw": _pagerank_sql(_TRANSITIONS, 3, raw=True),
-    "pagerank_float": _pagerank_sql(_TRANSITIONS, 3, digits=3),
+    "pagerank_float": f"SELECT *, 'float' AS kind FROM ({_pagerank_sql(_TRANSITIONS, 3, digits=3)})",
     "adjacency_lists": f"SELECT src, string_agg(dst::VARCHAR, ',' ORDER BY dst) AS dsts FROM ({_PARTS}) GROUP BY src",
     "out_degree": f"SELECT src, count(*) AS out_degree FROM ({_PARTS}) GROUP BY src",
     "graph_stats": f"WITH e AS ({_PARTS}) SELECT count(*) AS edges, count(DISTINCT src) AS sources, (SELECT count(*) FROM (SELECT src FROM e UNION SELECT dst FROM e)) AS ids, count(*) + count(DISTINCT src) AS cells FROM e",
@@ -285,6 +352,18 @@ ORACLE_SQL = {
     "edge_text_round_trip": f"WITH e AS ({_PARTS}) SELECT src, dst FROM e UNION SELECT dst, src FROM e",
     "pair_text_lines": "SELECT '(' || l_quantity::INTEGER || ',' || count(*) || ')' AS value FROM lineitem GROUP BY l_quantity::INTEGER",
     "points_round_trip": f"SELECT id, j::BIGINT AS j, round(v, 6) AS v, y FROM ({_VECTORS})",
+    "take_sample": "SELECT vec_id, label FROM embeddings ORDER BY md5('42:' || vec_id), vec_id LIMIT 20",
+    "random_labels": f"SELECT vec_id, CASE WHEN {_UNIFORM.format('vec_id', 42, 1)} < 0.2e0 THEN 1.0e0 ELSE -1.0e0 END AS y FROM embeddings",
+    "gen_points_blobs": _blobs_sql(8000, 4, 42, ", CASE WHEN id % 2 = 0 THEN -1.0e0 ELSE 1.0e0 END AS y"),
+    "gen_points_unlabelled": _blobs_sql(2000, 3, 7, ""),
+    "token_text_count": "SELECT token, count(*) AS n FROM (SELECT unnest([l_partkey::INTEGER, l_suppkey::INTEGER, l_quantity::INTEGER]) AS token FROM lineitem) GROUP BY token",
+    "text_scan_partitions": "SELECT 6::BIGINT AS parts, count(*) AS lines FROM lineitem",
+    "vector_space_parse": "SELECT o_orderkey::DOUBLE AS x0, o_custkey / 4.0e0 AS x1, -150.0e0 AS x2, 3 AS n FROM orders",
+    "vector_arithmetic": f"SELECT id, j::BIGINT AS j, round(v + v * 0.5e0, 6) AS v FROM ({_VECTORS})",
+    "upsert_scan": "SELECT user_id, min(event_id) AS first_at FROM events GROUP BY user_id",
+    "power_of_two": "SELECT p_partkey, CASE WHEN p_partkey < 2 THEN 1 ELSE (1::BIGINT << length(bin(p_partkey - 1))) END AS capacity FROM part",
+    # fixed values of the documented generator with seed 42
+    "initial_weights": "SELECT j, round(w, 12) AS w FROM (VALUES (0::BIGINT, 0.4551273600657362e0), (1, 0.36644694351969087e0), (2, -0.38256108933468047e0), (3, -0.4458430198517267e0), (4, 0.33109790358914726e0), (5, 0.8067445293443565e0), (6, -0.2624341731773887e0), (7, -0.44850386111659524e0), (8, -0.07269284838169332e0), (9, 0.5658035575800715e0)) t(j, w)",
     "pack_codes": f"SELECT n_nationkey, code, {_PACK.format('code')} AS packed FROM (SELECT n_nationkey, substr(n_name, 1, 4) AS code FROM nation)",
 }
 

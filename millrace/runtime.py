@@ -32,11 +32,13 @@ def session(app_name: str = "millrace", master: str | None = None, **conf: str)
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share, from spark.checkpoint.dir.
 
-    Only where that setting is absent (tests, a laptop) is a local temporary folder used instead.
-    Reliable checkpoints are directed to the same place.
+    Only where that setting is absent and all tasks run in this process (tests, a laptop) is a local temporary folder
+    used instead; on a cluster its absence is an error. Reliable checkpoints are directed to the same place.
     """
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("on a cluster, spark.checkpoint.dir must name a folder that all machines share")
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         if current.isDefined():
             return current.get()
@@ -48,8 +50,37 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder. It is the session's until `clean` or `discard` deletes it."""
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _made(spark).add(path)
+    return path
+
+
+def _made(spark: SparkSession) -> set[str]:
+    sc = spark.sparkContext
+    if not hasattr(sc, "_millrace_scratch"):
+        sc._millrace_scratch = set()
+    return sc._millrace_scratch
+
+
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Deletes scratch that no result reads any more."""
+    for path in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        _made(spark).discard(path)
+
+
+def clean(spark: SparkSession) -> None:
+    """Deletes all scratch and checkpoints of this session: call it once no result of an operator is read any more."""
+    discard(spark, *_made(spark))
+    folder = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if folder.isDefined():  # the folder that Spark made for this application inside the shared one
+        place = spark._jvm.org.apache.hadoop.fs.Path(folder.get())
+        system = place.getFileSystem(spark._jsc.hadoopConfiguration())
+        for child in system.listStatus(place):
+            if child.getPath().getName().startswith("rdd-"):
+                system.delete(child.getPath(), True)
 
 
 def cut(df: DataFrame) -> DataFrame:

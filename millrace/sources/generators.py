@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions.codes import pack_code
+from millrace.functions.draws import gaussian, seeded_hash
 
 R, MIX = 0.00007, 0.7
+#: Numbers that seeded_points draws at most.
+MOST_DRAWN = 10_000_000
 
 
 class JavaRandom:
@@ -52,7 +55,12 @@ def initial_weights(dim: int, seed: int = 42) -> list[float]:
 
 
 def seeded_points(spark: SparkSession, n: int, dim: int, seed: int = 42) -> tuple[list[float], DataFrame]:
-    """(weights, points): weights are drawn first, then points of classes 0 and 1 in turn. Drawn on the driver: for small n."""
+    """(weights, points): weights are drawn first, then points of classes 0 and 1 in turn.
+
+    One generator draws all numbers in turn, on the driver, so there may be MOST_DRAWN of them; blob_points has no such bound.
+    """
+    if (n + 1) * dim > MOST_DRAWN:
+        raise ValueError(f"more than {MOST_DRAWN} numbers from one generator")
     rng = JavaRandom(seed)
     w = [2 * rng.next_double() - 1 for _ in range(dim)]
     rows = []
@@ -74,9 +82,9 @@ def deterministic_points(spark: SparkSession, n: int, dim: int) -> DataFrame:
 
 
 def blob_points(spark: SparkSession, rows_per_slice: int, slices: int, dim: int, seed: int = 42, labelled: bool = True) -> DataFrame:
-    """Normal points around +-MIX, alternately; per partition the draw depends on the seed and the row's place only."""
+    """Normal points around +-MIX, alternately; a draw depends on the seed, the row's id and the component only."""
     y = F.when(F.col("id") % 2 == 0, -1.0).otherwise(1.0)
-    x = F.array(*(F.randn(seed + j) + MIX * F.col("y") for j in range(dim)))
+    x = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda j: gaussian(seeded_hash(seed, F.col("id"), j)) + MIX * F.col("y"))
     df = spark.range(0, rows_per_slice * slices, 1, slices).withColumn("y", y).withColumn("x", x)
     return df.select("id", "x", "y") if labelled else df.select("id", "x")
 

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.functions.draws import seeded_hash, uniform
+
 
 def lines(spark: SparkSession, path: str, partitions: int | None = None) -> DataFrame:
     """`value` per line; partitions deals the lines out anew, evenly."""
@@ -40,9 +42,14 @@ def vectors(text: DataFrame, dim: int) -> DataFrame:
     return text.select(F.transform(enough, lambda v: F.trim(v).cast("double")).alias("x"))
 
 
-def random_labels(df: DataFrame, seed: int, share: float = 0.2) -> DataFrame:
-    """Adds y: +1 for about `share` of the rows, -1 for the others. The draw is by row order within partitions."""
-    return df.withColumn("y", F.when(F.rand(seed) < share, 1.0).otherwise(-1.0))
+def space_vectors(text: DataFrame) -> DataFrame:
+    """`x`: all fields of each line as numbers, however many."""
+    return text.select(F.transform(fields(F.col("value")), lambda v: v.cast("double")).alias("x"))
+
+
+def random_labels(df: DataFrame, seed: int, id_column: str, share: float = 0.2) -> DataFrame:
+    """Adds y: +1 for about `share` of the rows, -1 for the others. A row's draw depends on the seed and its id only."""
+    return df.withColumn("y", F.when(uniform(seeded_hash(seed, F.col(id_column))) < share, 1.0).otherwise(-1.0))
 
 
 def write_pairs(df: DataFrame, path: str, left: str, right: str) -> None:

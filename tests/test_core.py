@@ -113,7 +113,8 @@ def test_java_random():
     assert [rng.next_int() for _ in range(3)] == [-1170105035, 234785527, -1360544799]
     rng = generators.JavaRandom(42)
     assert [rng.next_gaussian() for _ in range(4)] == pytest.approx([1.141905315473055, 0.919407948982788, -0.9498666368908959, -1.1069902863993377], abs=1e-12)
-    assert generators.initial_weights(3) == pytest.approx([0.4551273600657362, 0.36644694351969087, -0.38256108933468047], abs=1e-15)
+    golden = [0.4551273600657362, 0.36644694351969087, -0.38256108933468047, -0.4458430198517267, 0.33109790358914726, 0.8067445293443565, -0.2624341731773887, -0.44850386111659524, -0.07269284838169332, 0.5658035575800715]
+    assert generators.initial_weights(10) == pytest.approx(golden, abs=1e-15)
 
 
 def test_regression_golden(spark):
