@@ -11,8 +11,10 @@ block's distinct (DEPTH + 1)-byte grams and words with their training counts; th
 Grams that share their TOP latest context bytes (2**24 at most) meet in one task, which weights their subtree with
 array operations; depth 2 (2**24 nodes at most) is mixed by distributed aggregation, depths 0 and 1 (65,280 nodes
 at most) on the driver. Each block asks for the predictions and counts of the grams and words that it has, by two
-joins, and its answers are written as a file of its own; a last pass reads each block with its answers. Nothing
-whose size grows with the data is broadcast, and the number of passes over the texts doesn't depend on the model.
+joins, and its answers are written as a file of its own; a last pass reads each block with its answers. Grams and
+words that make up at least 1/HEAVY of training (there can be no more than HEAVY of each) stand in most blocks, so
+they are broadcast and not asked for. Nothing whose size grows with the data is broadcast, and the number of passes
+over the texts doesn't depend on the model.
 
 The base model is add-one smoothing over words.
 
@@ -32,6 +34,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 from pyarrow.fs import FileSelector
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,9 +45,10 @@ from millrace.llm.storage import filesystem
 DEPTH, TOP = 5, 3
 END = b"\n"
 #: Bytes of text whose grams and words are looked up together.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 64 << 20
+HEAVY = 1 << 20
 #: Bytes of text that are turned into grams at once; grams that a task gathers before it passes counts on.
-CHUNK, TABLE_GRAMS = 1 << 20, 2_000_000
+CHUNK, TABLE_GRAMS = 1 << 20, 4_000_000
 #: Grams that are weighted at once, beside those of the last subtree.
 STREAM = 1 << 19
 LN10 = math.log(10)
@@ -334,45 +338,57 @@ def text_scores(streams: list[bytes], keys: np.ndarray, values: np.ndarray) -> n
     return out
 
 
-def answers(keys: DataFrame, predictions: DataFrame, counts: DataFrame) -> str:
-    """Writes, for each block, the predictions of its grams and the training counts of its words; the folder of these files."""
-    of_grams = keys.filter("gram IS NOT NULL").select("block", "gram").join(predictions, "gram").select("block", "gram", F.lit(None).cast("string").alias("word"), F.col("log10p").cast("double").alias("value"))
-    of_words = keys.filter("word IS NOT NULL").select("block", "word").join(counts, "word").select("block", F.lit(None).cast("bigint").alias("gram"), "word", F.col("n").cast("double").alias("value"))
+def answers(keys: DataFrame, predictions: DataFrame, counts: DataFrame, heavy_grams: DataFrame, heavy_words: DataFrame) -> str:
+    """Writes, for each block, the predictions of its grams and the training counts of its words, but for the heavy ones
+    (HEAVY rows at most each); the folder of these files."""
+    grams_asked = keys.filter("gram IS NOT NULL").select("block", "gram").join(F.broadcast(heavy_grams), "gram", "left_anti")
+    words_asked = keys.filter("word IS NOT NULL").select("block", "word").join(F.broadcast(heavy_words), "word", "left_anti")
+    of_grams = grams_asked.join(predictions, "gram").select("block", "gram", F.lit(None).cast("string").alias("word"), F.col("log10p").cast("double").alias("value"))
+    of_words = words_asked.join(counts, "word").select("block", F.lit(None).cast("bigint").alias("gram"), "word", F.col("n").cast("double").alias("value"))
     path = scratch_path(keys.sparkSession, "answers")
     of_grams.union(of_words).repartition("block").sortWithinPartitions("block", "gram").write.partitionBy("block").parquet(path)
     return path
 
 
 def read_answers(folder: str, block: int) -> tuple[np.ndarray, np.ndarray, dict[bytes, float]]:
-    """(grams, sorted, their log10 probabilities, log10(count + 1) of the words that training has) of a block."""
+    """(grams, their log10 probabilities, log10(count + 1) of the words that training has) of a block, without heavy ones."""
     fs, path = filesystem(f"{folder}/block={block}")
-    files = [x.path for x in fs.get_file_info(FileSelector(path)) if x.base_name.endswith(".parquet")]
+    files = [x.path for x in fs.get_file_info(FileSelector(path, allow_not_found=True)) if x.base_name.endswith(".parquet")]
+    if not files:
+        return np.empty(0, np.uint64), np.empty(0), {}
     table = pa.concat_tables([pq.read_table(x, filesystem=fs, partitioning=None) for x in files]).combine_chunks()
     is_gram = table.column("gram").is_valid()
     some, rest = table.filter(is_gram), table.filter(table.column("word").is_valid())
-    gram, value = some.column("gram").to_numpy().astype(np.uint64), some.column("value").to_numpy()
-    order = np.argsort(gram, kind="stable")
     known = zip(rest.column("word").to_pylist(), np.log10(rest.column("value").to_numpy() + 1).tolist(), strict=True)
-    return gram[order], value[order], {w.encode(): v for w, v in known}
+    return some.column("gram").to_numpy().astype(np.uint64), some.column("value").to_numpy(), {w.encode(): v for w, v in known}
 
 
-def score(docs: DataFrame, id_column: str, text_column: str, held: Column, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def score(docs: DataFrame, id_column: str, text_column: str, held: Column, block_bytes: int = BLOCK_BYTES, heavy: int = HEAVY) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte) of every row of docs.
 
     score: log10 of the text's probability; bits_per_byte: its code length over the bytes of the text as modelled.
     """
-    ship(docs.sparkSession)
-    kind = docs.schema[id_column].dataType.simpleString()
+    spark, kind = docs.sparkSession, docs.schema[id_column].dataType.simpleString()
+    ship(spark)
     texts = blocks(docs.select(F.col(id_column).alias("id"), held.alias("held_out"), F.col(text_column).alias("text")), block_bytes)
     keys = key_counts(texts)
     counts = stored(keys.filter("word IS NOT NULL").groupBy("word").agg(F.sum("n").alias("n")).filter("n > 0"), "words")
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    predictions = model(stored(keys.filter("gram IS NOT NULL").groupBy("gram").agg(F.sum("n").alias("n")), "grams"))
-    run = _scored(answers(keys, predictions, counts), id_column, total, math.log10(total + distinct + 1))
+    counted = stored(keys.filter("gram IS NOT NULL").groupBy("gram").agg(F.sum("n").alias("n")), "grams")
+    predictions = model(counted)
+    all_grams = counted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    # counts add up to the total, so there are `heavy` of them at most (n is not 0)
+    heavy_grams, heavy_words = counted.filter((F.col("n") > 0) & (F.col("n") * heavy >= all_grams)), counts.filter(F.col("n") * heavy >= total)
+    table, known = predictions.join(F.broadcast(heavy_grams.select("gram")), "gram").toArrow(), heavy_words.toArrow()
+    common = dict(zip((w.encode() for w in known.column("word").to_pylist()), np.log10(known.column("n").to_numpy() + 1.0).tolist(), strict=True))
+    shared = spark.sparkContext.broadcast((table.column("gram").to_numpy().astype(np.uint64), table.column("log10p").to_numpy().astype(np.float64), common))
+    del table, known, common
+    folder = answers(keys, predictions, counts, heavy_grams.select("gram"), heavy_words.select("word"))
+    run = _scored(folder, shared, id_column, total, math.log10(total + distinct + 1))
     return texts.select("block", "id", "held_out", "text").mapInArrow(run, f"`{id_column}` {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, bits_per_byte double")
 
 
-def _scored(folder: str, id_column: str, train_tokens: int, unit: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _scored(folder: str, shared: Broadcast, id_column: str, train_tokens: int, unit: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     names = [id_column, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -380,13 +396,16 @@ def _scored(folder: str, id_column: str, train_tokens: int, unit: float) -> Call
         for number, part in by_block(batches, 3):
             if number != block:
                 block, (keys, values, known) = number, read_answers(folder, number)
+                keys, values = np.concatenate([keys, shared.value[0]]), np.concatenate([values, shared.value[1]])
+                order = np.argsort(keys, kind="stable")
+                keys, values, common = keys[order], values[order], shared.value[2]
             split = [words(x) for x in part.column(3).to_pylist()]
             streams = [b" ".join(w) + END for w in split]
             scores = text_scores(streams, keys, values)
             n_tokens, n_known, base = [], [], []
             for own in split:
                 own.append(END)
-                found = [known[w] for w in own if w in known]
+                found = [v for w in own if (v := common.get(w) or known.get(w))]
                 n_tokens.append(len(own))
                 n_known.append(len(found))
                 base.append(math.fsum(found) - len(own) * unit)
