@@ -26,8 +26,3 @@ def scale(a: Column, by: Column | float) -> Column:
 
 def squared_distance(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, v: s + v)
-
-
-def nearest(x: Column, centers: Sequence[Sequence[float]]) -> Column:
-    """struct<d, k> of the closest center; ties go to the lowest k, NaN distances lose."""
-    return F.array_min(F.array(*(F.struct(squared_distance(x, literal(c)).alias("d"), F.lit(k).alias("k")) for k, c in enumerate(centers))))

@@ -246,6 +246,12 @@ def vector_arithmetic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summed.select("id", F.col("j").cast("bigint").alias("j"), F.round("v", 6).alias("v"))
 
 
+def vector_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Squared distance of each vector from the starting weights."""
+    d = vectors.squared_distance(F.col("x"), vectors.literal(start_weights()))
+    return labelled_vectors(spark, sf_dir).select("id", F.round(d, 6).alias("d"))
+
+
 def upsert_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keys with their places in a scan in order of insertion."""
     first = aggregates.insertion_order(_table(spark, sf_dir, "events"), "user_id", "event_id")
@@ -265,7 +271,7 @@ QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     edge_text_parse, vector_text_parse, trade_totals, lr_embeddings, lr_deterministic, lr_gradient, lr_predict_margin, kmeans_embeddings, kmeans_assign, kmeans_delta,
     upsert_latest, gen_trades, gen_points_det, pack_codes, take_sample, trade_totals_wrapped, edge_text_round_trip, pair_text_lines, points_round_trip,
     gen_points_seeded, gen_points_blobs, gen_points_unlabelled, random_labels, token_text_count, text_scan_partitions, vector_space_parse, vector_arithmetic,
-    upsert_scan, power_of_two, initial_weights,
+    vector_distance, upsert_scan, power_of_two, initial_weights,
 )
 
 
@@ -360,6 +366,7 @@ ORACLE_SQL = {
     "text_scan_partitions": "SELECT 6::BIGINT AS parts, count(*) AS lines FROM lineitem",
     "vector_space_parse": "SELECT o_orderkey::DOUBLE AS x0, o_custkey / 4.0e0 AS x1, -150.0e0 AS x2, 3 AS n FROM orders",
     "vector_arithmetic": f"SELECT id, j::BIGINT AS j, round(v + v * 0.5e0, 6) AS v FROM ({_VECTORS})",
+    "vector_distance": f"WITH p AS ({_VECTORS}), w AS ({_START}) SELECT id, round(sum((v - w) * (v - w)), 6) AS d FROM p JOIN w USING (j) GROUP BY id",
     "upsert_scan": "SELECT user_id, min(event_id) AS first_at FROM events GROUP BY user_id",
     "power_of_two": "SELECT p_partkey, CASE WHEN p_partkey < 2 THEN 1 ELSE (1::BIGINT << length(bin(p_partkey - 1))) END AS capacity FROM part",
     # fixed values of the documented generator with seed 42
