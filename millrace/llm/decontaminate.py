@@ -181,11 +181,12 @@ def oracle_sql(window: int = WINDOW) -> str:
         occ AS (SELECT DISTINCT gram.doc_id, i, gram.n, item FROM gram JOIN win ON gram.k = win.k AND gram.n = win.n),
         hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM occ) GROUP BY doc_id),
         its AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT doc_id, item FROM occ) GROUP BY doc_id),
-        word AS (SELECT doc_id, i, w[i] AS t, w[greatest(1, i - {NEAR * window - 1}) : i + {NEAR * window - 1}] AS around FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d)),
+        word AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS t FROM d),
         freq AS (SELECT t, count(*) AS f FROM word GROUP BY t),
         term AS (SELECT DISTINCT k, n, unnest(string_split(k, ' ')) AS t FROM win),
         least_ AS (SELECT k, n, arg_min(t, f) AS t, list(t) AS terms FROM term LEFT JOIN freq USING (t) GROUP BY k, n HAVING count(f) = count(*)),
-        close AS (SELECT DISTINCT doc_id, k, n FROM word JOIN least_ USING (t)
+        spot AS MATERIALIZED (SELECT doc_id, i, k, n, terms FROM word JOIN least_ USING (t)),
+        close AS (SELECT DISTINCT doc_id, k, n FROM (SELECT spot.*, w[greatest(1, i - {NEAR * window - 1}) : i + {NEAR * window - 1}] AS around FROM spot JOIN d USING (doc_id))
                   WHERE list_has_all(around, terms) AND len(list_filter(range(greatest(1, least(i, {NEAR * window}) - {NEAR} * n + 1), least(i, {NEAR * window}) + 1), lambda s: list_has_all(around[s : s + {NEAR} * n - 1], terms))) > 0),
         near AS (SELECT doc_id, count(DISTINCT item) AS n_near FROM close JOIN win USING (k, n) GROUP BY doc_id)
         SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
