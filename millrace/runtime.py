@@ -71,6 +71,23 @@ def discard(spark: SparkSession, *paths: str) -> None:
         _made(spark).discard(path)
 
 
+class Scratch:
+    """Tables that one job stores for its own use, deleted together when the job needs them no more."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def store(self, df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
+        """df written as Parquet to the shared folder, and read from there."""
+        self.paths.append(scratch_path(self.spark, name))
+        df.write.option("compression", compression).parquet(self.paths[-1])
+        return self.spark.read.parquet(self.paths[-1])
+
+    def discard(self) -> None:
+        discard(self.spark, *self.paths)
+        self.paths = []
+
+
 def clean(spark: SparkSession) -> None:
     """Deletes all scratch and checkpoints of this session: call it once no result of an operator is read any more."""
     discard(spark, *_made(spark))

@@ -25,6 +25,12 @@ def test_scratch_is_deleted(spark):
     assert os.path.exists(local)
     runtime.discard(spark, path)
     assert not os.path.exists(local) and spark.read.parquet(other).count() == 3
+    scratch = runtime.Scratch(spark)
+    assert scratch.store(spark.range(6), "mine", "zstd").count() == 6
+    mine = scratch.paths[0].removeprefix("file://").removeprefix("file:")
+    assert os.path.exists(mine)
+    scratch.discard()
+    assert not os.path.exists(mine) and spark.read.parquet(other).count() == 3
     assert runtime.cut(spark.range(4)).count() == 4
     runtime.clean(spark)
     assert not os.path.exists(other.removeprefix("file://").removeprefix("file:"))
