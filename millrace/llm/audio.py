@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_type
 
-from millrace.llm.common import cut, scratch_path, ship, slices
+from millrace.llm.common import Scratch, cut, scratch_path, ship, slices
 from millrace.llm.storage import create, filesystem
 
 PAD_TO = 192
@@ -175,7 +175,7 @@ def tensor_array(tensors: np.ndarray) -> pa.FixedShapeTensorArray:
     return pa.FixedShapeTensorArray.from_numpy_ndarray(np.ascontiguousarray(tensors, np.float32)) if len(tensors) else pa.ExtensionArray.from_storage(pa.fixed_shape_tensor(pa.float32(), (FRAMES, MELS)), pa.array([], pa.list_(pa.float32(), FRAMES * MELS)))
 
 
-def store(df: DataFrame, id_column: str, text_column: str) -> DataFrame:
+def store(df: DataFrame, id_column: str, text_column: str, scratch: Scratch | None = None) -> DataFrame:
     """(id, n_bytes, media): each text's padded bytes as a WAV column, written to the shared folder and read from there."""
     ship(df.sparkSession)
     kind = df.schema[id_column].dataType.simpleString()
@@ -185,9 +185,8 @@ def store(df: DataFrame, id_column: str, text_column: str) -> DataFrame:
             raw = [(x or "").encode("utf-8", "replace") for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in raw], pa.int64()), pa.array([wav(padded(x)) for x in raw], pa.large_binary())], names=[id_column, "n_bytes", "media"])
 
-    path = scratch_path(df.sparkSession, "media")
-    df.select(id_column, text_column).mapInArrow(run, f"`{id_column}` {kind}, n_bytes bigint, media binary").write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    media = df.select(id_column, text_column).mapInArrow(run, f"`{id_column}` {kind}, n_bytes bigint, media binary")
+    return (scratch or Scratch(df.sparkSession)).store(media, "media", "zstd")
 
 
 RECORDING = [("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("n_tensors", pa.int64())]
@@ -271,7 +270,9 @@ def tensor_digest(pieces: Iterator[pa.RecordBatch]) -> str:
 def digests(df: DataFrame, id_column: str, text_column: str) -> DataFrame:
     """What the stored form of each text holds when it is read back, and a digest of its stored tensors, spans and marks."""
     spark, kind = df.sparkSession, df.schema[id_column].dataType.simpleString()
-    files = write_tensors(store(df, id_column, text_column), id_column)
+    scratch = Scratch(spark)
+    files = write_tensors(store(df, id_column, text_column, scratch), id_column)
+    scratch.discard()  # the digests of the media stand beside the tensors
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for path in (x for batch in batches for x in batch.column(0).to_pylist()):

@@ -38,7 +38,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import byte_sizes, runs, scratch_path, ship, slices
+from millrace.llm.common import Scratch, byte_sizes, runs, scratch_path, ship, slices
 from millrace.llm.storage import filesystem
 
 #: Context bytes in all, and of them the latest ones whose subtrees are weighted in one task each.
@@ -169,12 +169,6 @@ def subtrees(batches: Iterator[pa.RecordBatch], most: int = STREAM) -> Iterator[
         yield [np.concatenate(x) for x in zip(*waiting, strict=True)]
 
 
-def stored(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
-    path = scratch_path(df.sparkSession, name)
-    df.write.option("compression", compression).parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 def merged(keys: list[np.ndarray], n: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """One sorted run, equal keys' counts added up, of several sorted runs."""
     key, count = np.concatenate([np.empty(0, np.uint64), *keys]), np.concatenate([np.empty(0, np.int64), *n])
@@ -183,7 +177,7 @@ def merged(keys: list[np.ndarray], n: list[np.ndarray]) -> tuple[np.ndarray, np.
     return distinct, np.add.reduceat(count[order], np.cumsum(size) - size) if len(distinct) else count
 
 
-def blocks(rows: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def blocks(rows: DataFrame, scratch: Scratch, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows with `block`, stored: consecutive rows of a task share a number until their texts reach block_bytes.
 
     Numbers are drawn anew in each attempt of a task; those of the attempt that is stored count. rows: ..., text.
@@ -202,7 +196,7 @@ def blocks(rows: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
                 held += n
             yield pa.RecordBatch.from_arrays([pa.array(number), *batch.columns], names=["block", *batch.schema.names])
 
-    return stored(rows.mapInArrow(run, "block bigint, " + ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)), "blocks", "zstd")
+    return scratch.store(rows.mapInArrow(run, "block bigint, " + ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)), "blocks", "zstd")
 
 
 def by_block(batches: Iterator[pa.RecordBatch], text_column: int) -> Iterator[tuple[int, pa.RecordBatch]]:
@@ -215,7 +209,7 @@ def by_block(batches: Iterator[pa.RecordBatch], text_column: int) -> Iterator[tu
                 yield int(number[lo]), batch.slice(lo, hi - lo)
 
 
-def key_counts(texts: DataFrame) -> DataFrame:
+def key_counts(texts: DataFrame, scratch: Scratch) -> DataFrame:
     """(block, gram, word, n), stored: a row per distinct gram, and per distinct word, of a block; n counts training only, so
     what only held-out texts have has 0. A block that is read in parts may have a key more than once. texts: as `blocks` makes them."""
 
@@ -257,10 +251,10 @@ def key_counts(texts: DataFrame) -> DataFrame:
         if block is not None:
             yield from rows()
 
-    return stored(texts.select("block", "held_out", "text").mapInArrow(run, "block bigint, gram bigint, word string, n bigint"), "keys")
+    return scratch.store(texts.select("block", "held_out", "text").mapInArrow(run, "block bigint, gram bigint, word string, n bigint"), "keys")
 
 
-def model(counted: DataFrame) -> DataFrame:
+def model(counted: DataFrame, scratch: Scratch) -> DataFrame:
     """(gram, log10p), stored: the weighted prediction of every gram. counted: gram, n (0 where training lacks it)."""
     ship(counted.sparkSession)
     shift = 8 * (DEPTH + 1 - TOP)
@@ -272,7 +266,7 @@ def model(counted: DataFrame) -> DataFrame:
                 node, *sums = Subtree(keys.astype(np.uint64), n, level).top()
                 yield pa.RecordBatch.from_arrays([pa.array(node.astype(np.int64)), *map(pa.array, sums)], names=["node", "n0", "n1", "ln"])
 
-    third = stored(dealt.mapInArrow(summarise, "node bigint, n0 double, n1 double, ln double"), "nodes")
+    third = scratch.store(dealt.mapInArrow(summarise, "node bigint, n0 double, n1 double, ln double"), "nodes")
 
     def level_up(nodes: DataFrame, depth: int) -> DataFrame:
         """Sums by the node one depth up, its bytes in the highest places."""
@@ -286,7 +280,7 @@ def model(counted: DataFrame) -> DataFrame:
             ln, own = weigh(n0, n1, below)
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(ln), pa.array(own)], names=["node", "n0", "n1", "ln", "own"])
 
-    second = stored(level_up(third, 2).mapInArrow(weighted, "node bigint, n0 double, n1 double, ln double, own double"), "nodes")
+    second = scratch.store(level_up(third, 2).mapInArrow(weighted, "node bigint, n0 double, n1 double, ln double, own double"), "nodes")
     tables = np.zeros((3, 256, 256))
     for r in level_up(second, 1).collect():  # at most 256 * 255 nodes
         tables[:, r["node"] >> 8 * DEPTH, r["node"] & 255] = r["n0"], r["n1"], r["below"]
@@ -321,7 +315,7 @@ def model(counted: DataFrame) -> DataFrame:
                 total = sum(Subtree(keys, counts, level).ln_probability(*above) for level in range(8))
                 yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array((total / LN10).astype(np.float32))], names=["gram", "log10p"])
 
-    return stored(both.mapInArrow(predict, "gram bigint, log10p float"), "predictions")
+    return scratch.store(both.mapInArrow(predict, "gram bigint, log10p float"), "predictions")
 
 
 def text_scores(streams: list[bytes], keys: np.ndarray, values: np.ndarray) -> np.ndarray:
@@ -338,16 +332,14 @@ def text_scores(streams: list[bytes], keys: np.ndarray, values: np.ndarray) -> n
     return out
 
 
-def answers(keys: DataFrame, predictions: DataFrame, counts: DataFrame, heavy_grams: DataFrame, heavy_words: DataFrame) -> str:
+def answers(keys: DataFrame, predictions: DataFrame, counts: DataFrame, heavy_grams: DataFrame, heavy_words: DataFrame, path: str) -> None:
     """Writes, for each block, the predictions of its grams and the training counts of its words, but for the heavy ones
-    (HEAVY rows at most each); the folder of these files."""
+    (HEAVY rows at most each), as files in the folder `path`."""
     grams_asked = keys.filter("gram IS NOT NULL").select("block", "gram").join(F.broadcast(heavy_grams), "gram", "left_anti")
     words_asked = keys.filter("word IS NOT NULL").select("block", "word").join(F.broadcast(heavy_words), "word", "left_anti")
     of_grams = grams_asked.join(predictions, "gram").select("block", "gram", F.lit(None).cast("string").alias("word"), F.col("log10p").cast("double").alias("value"))
     of_words = words_asked.join(counts, "word").select("block", F.lit(None).cast("bigint").alias("gram"), "word", F.col("n").cast("double").alias("value"))
-    path = scratch_path(keys.sparkSession, "answers")
     of_grams.union(of_words).repartition("block").sortWithinPartitions("block", "gram").write.partitionBy("block").parquet(path)
-    return path
 
 
 def read_answers(folder: str, block: int) -> tuple[np.ndarray, np.ndarray, dict[bytes, float]]:
@@ -370,12 +362,13 @@ def score(docs: DataFrame, id_column: str, text_column: str, held: Column, block
     """
     spark, kind = docs.sparkSession, docs.schema[id_column].dataType.simpleString()
     ship(spark)
-    texts = blocks(docs.select(F.col(id_column).alias("id"), held.alias("held_out"), F.col(text_column).alias("text")), block_bytes)
-    keys = key_counts(texts)
-    counts = stored(keys.filter("word IS NOT NULL").groupBy("word").agg(F.sum("n").alias("n")).filter("n > 0"), "words")
+    kept, scratch = Scratch(spark), Scratch(spark)  # what the result reads, and what it takes to get there
+    texts = blocks(docs.select(F.col(id_column).alias("id"), held.alias("held_out"), F.col(text_column).alias("text")), kept, block_bytes)
+    keys = key_counts(texts, scratch)
+    counts = scratch.store(keys.filter("word IS NOT NULL").groupBy("word").agg(F.sum("n").alias("n")).filter("n > 0"), "words")
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    counted = stored(keys.filter("gram IS NOT NULL").groupBy("gram").agg(F.sum("n").alias("n")), "grams")
-    predictions = model(counted)
+    counted = scratch.store(keys.filter("gram IS NOT NULL").groupBy("gram").agg(F.sum("n").alias("n")), "grams")
+    predictions = model(counted, scratch)
     all_grams = counted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     # counts add up to the total, so there are `heavy` of them at most (n is not 0)
     heavy_grams, heavy_words = counted.filter((F.col("n") > 0) & (F.col("n") * heavy >= all_grams)), counts.filter(F.col("n") * heavy >= total)
@@ -383,7 +376,9 @@ def score(docs: DataFrame, id_column: str, text_column: str, held: Column, block
     common = dict(zip((w.encode() for w in known.column("word").to_pylist()), np.log10(known.column("n").to_numpy() + 1.0).tolist(), strict=True))
     shared = spark.sparkContext.broadcast((table.column("gram").to_numpy().astype(np.uint64), table.column("log10p").to_numpy().astype(np.float64), common))
     del table, known, common
-    folder = answers(keys, predictions, counts, heavy_grams.select("gram"), heavy_words.select("word"))
+    folder = scratch_path(spark, "answers")
+    answers(keys, predictions, counts, heavy_grams.select("gram"), heavy_words.select("word"), folder)
+    scratch.discard()
     run = _scored(folder, shared, id_column, total, math.log10(total + distinct + 1))
     return texts.select("block", "id", "held_out", "text").mapInArrow(run, f"`{id_column}` {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, bits_per_byte double")
 

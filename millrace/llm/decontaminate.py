@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import ascii_lower, cut, scratch_path
+from millrace.llm.common import Scratch, ascii_lower, cut
 from millrace.llm.common import small as small_rows
 
 WINDOW, NEAR = 10, 2
@@ -39,22 +39,16 @@ def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return small_rows(df, most)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
-def split_once(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
+def split_once(docs: DataFrame, id_column: str, text_column: str, scratch: Scratch) -> DataFrame:
     """(doc, id, th, n, w), stored: each row's number, its text's XXH64, its number of words and its words."""
     # explode of one array: the words are made once, not again for their number
     rows = docs.select(F.monotonically_increasing_id().alias("doc"), F.col(id_column).alias("id"), F.xxhash64(text_column).alias("th"), F.explode(F.array(words(F.col(text_column)))).alias("w"))
-    return stored(rows.select("doc", "id", "th", F.size("w").cast("bigint").alias("n"), "w"), "words")
+    return scratch.store(rows.select("doc", "id", "th", F.size("w").cast("bigint").alias("n"), "w"), "words")
 
 
-def store_postings(texts: DataFrame) -> DataFrame:
+def store_postings(texts: DataFrame, scratch: Scratch) -> DataFrame:
     """(term, doc, pos) of every word of all texts, stored. texts: as `split_once` makes them."""
-    return stored(texts.select("doc", F.posexplode("w").alias("pos", "term")).select("term", "doc", "pos").sortWithinPartitions("term", "doc", "pos"), "postings")
+    return scratch.store(texts.select("doc", F.posexplode("w").alias("pos", "term")).select("term", "doc", "pos").sortWithinPartitions("term", "doc", "pos"), "postings")
 
 
 def windows(benchmark: DataFrame, id_column: str, text_column: str, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
@@ -131,12 +125,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_i
     n_near: how many items have a window that stands in the text or near a place of it.
     """
     wins, win_items = windows(benchmark, item_column, item_text, window)
-    texts = split_once(docs, id_column, text_column)
-    index = store_postings(texts)
+    kept, scratch = Scratch(docs.sparkSession), Scratch(docs.sparkSession)  # what the result reads, and what it takes to get there
+    texts = split_once(docs, id_column, text_column, kept)
+    index = store_postings(texts, scratch)
     rare = cut(rarest(wins, cut(term_counts(index, cut(wins.select(F.explode("win").alias("term")).distinct())))))
     with_window = candidates(index, rare, window).join(small(rare.select("wid", "o1").join(wins, "wid")), "wid")
     found = cut(with_window.groupBy("doc").agg(F.collect_list(F.struct("p", "aligned", "o1", "wid", "win")).alias("found")))
     hits = cut(verified(texts, found))
+    scratch.discard()
     item = F.col("item")
     per_item = hits.select("doc", F.explode("hits").alias("h")).select("doc", "h.wid", "h.exact").join(small(win_items), "wid")
     per_doc = per_item.groupBy("doc").agg(F.sort_array(F.collect_set(F.when(F.col("exact"), item))).alias("items"), F.size(F.collect_set(item)).cast("bigint").alias("n_near"))
@@ -153,8 +149,9 @@ def proximity(docs: DataFrame, queries: DataFrame, id_column: str, text_column:
     """(query, id, first, places): for each query and document, the places of the query's rarest term that have all of the
     query's other terms at most `slop` words away, in order, and the first of them. A query without words, or with a term that no document has, matches nothing."""
     terms = cut(queries.select(F.col(query_column).alias("query"), F.explode(F.array_distinct(words(F.col(query_text)))).alias("term")))
-    texts = split_once(docs, id_column, text_column)
-    index = store_postings(texts)
+    scratch = Scratch(docs.sparkSession)
+    texts = split_once(docs, id_column, text_column, scratch)
+    index = store_postings(texts, scratch)
     counts = term_counts(index, cut(terms.select("term").distinct()))
     ranked = terms.join(counts, "term", "left").groupBy("query").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "term"))).alias("r")).filter("r[0].n > 0")
     wanted = cut(ranked.select("query", F.size("r").alias("wanted"), F.col("r")[0]["term"].alias("rarest"), F.explode("r.term").alias("term")))

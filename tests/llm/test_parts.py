@@ -15,6 +15,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from millrace.llm import bpe, chat, ctw, decontaminate, frames, simhash, toxicity, warc
+from millrace.llm.common import Scratch
 from millrace.llm.components import components
 from millrace.llm.queries import byte_bpe_path
 
@@ -74,7 +75,7 @@ def test_proximity_gives_every_place(spark):
 
 def test_the_stored_index_holds_every_token(spark, folder, docs, monkeypatch):
     stored, make = [], decontaminate.store_postings
-    monkeypatch.setattr(decontaminate, "store_postings", lambda texts: stored.append((texts, make(texts))) or stored[-1][1])
+    monkeypatch.setattr(decontaminate, "store_postings", lambda texts, scratch: stored.append((texts, make(texts, Scratch(spark)))) or stored[-1][1])
     decontaminate.decontaminate(spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/benchmark.parquet")).count()
     ids = {r["doc"]: r["id"] for r in stored[0][0].collect()}
     got = sorted(((ids[r["doc"]], r["term"], r["pos"]) for r in stored[0][1].collect()), key=repr)
@@ -294,7 +295,7 @@ def test_context_tree_weighting(spark):
 def test_blocks_of_texts(spark):
     df = spark.createDataFrame([(i, "x" * n) for i, n in enumerate([5, 5, 50, 0, 3, 9, 9])] + [(7, None)], "id bigint, text string").coalesce(1)
     of = {}
-    for r in ctw.blocks(df, 12).collect():
+    for r in ctw.blocks(df, Scratch(spark), 12).collect():
         of.setdefault(r["block"], []).append(r["id"])
     assert sorted(of.values()) == [[0, 1], [2], [3, 4, 5], [6, 7]]
 
@@ -313,7 +314,7 @@ def test_ctw_probabilities_sum_to_one(spark):
     n = {}
     for k, o in zip(key.tolist(), owner.tolist(), strict=True):
         n[k] = n.get(k, 0) + (o == 0)
-    p = {r["gram"]: 10 ** r["log10p"] for r in ctw.model(spark.createDataFrame(list(n.items()), "gram bigint, n bigint")).collect()}
+    p = {r["gram"]: 10 ** r["log10p"] for r in ctw.model(spark.createDataFrame(list(n.items()), "gram bigint, n bigint"), Scratch(spark)).collect()}
     after_a = [v for g, v in p.items() if (g >> 8).to_bytes(5, "big") == b"a\n\n\n\n"]
     assert 0.3 < sum(after_a) <= 1 + 1e-6 and max(after_a) == max(v for g, v in p.items() if (g >> 8).to_bytes(5, "big") == b"a\n\n\n\n" and g & 255 == ord("b"))
 
