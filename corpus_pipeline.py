@@ -1,9 +1,10 @@
 """A corpus pipeline over `documents`: each stage reads what its predecessor kept, as Parquet.
 
 Toxic documents go, then all but one row of each near-duplicate group, then documents that hold a window of a
-benchmark item; those that are left are encoded. Documents that no rule names pass unchanged. Of a near-duplicate
-group the row with the smallest doc_id stays, of equal ids the one with the smallest text hash; a null id comes
-behind all others, and null texts are texts without words, which are near copies of each other.
+benchmark item; those that are left are encoded. Documents that no rule names pass unchanged, whatever their length.
+Of a near-duplicate group the row with the smallest doc_id stays, of equal ids the one with the smallest text hash, of
+equal rows one; a null id comes behind all others, and null texts are texts without words, which are near copies of
+each other. Stages take the columns of documents and leave out any others; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from millrace.llm import bpe, decontaminate, simhash, toxicity
 from millrace.llm.common import cut, scratch_path, table
 from millrace.llm.queries import byte_bpe_path
+from millrace.runtime import discard
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -52,9 +54,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows that the last stage makes of `documents`."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         path = scratch_path(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        if before:
+            discard(spark, before)  # its successor has read it
+        docs, before = spark.read.parquet(path), path
     return docs
