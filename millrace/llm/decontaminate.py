@@ -2,7 +2,7 @@
 
 Texts are split into words once and stored. Every training token becomes a stored posting (term, document, position),
 in files that are sorted by term, each over the documents of one task, so that building the index shuffles nothing and
-a term's postings are found by the files' statistics. Each window of a benchmark item names its two rarest terms by
+a term's postings stand together in each. Each window of a benchmark item names its two rarest terms by
 corpus frequency; the rarest one's postings are joined with the other one's nearby in the same document. Places where
 both stand at their offsets may hold the window, places where they are merely close may hold its words nearby; both are
 verified in the stored words. A window with a term that the corpus lacks is dropped before anything is fetched.
