@@ -21,6 +21,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
@@ -228,7 +229,7 @@ def decode_column(df: DataFrame, id_column: str, ids_column: str, path: str) ->
         bpe = vocabulary(path)
         for batch in batches:
             lists = batch.column(1)
-            counts = np.array([len(x) if x is not None else 0 for x in lists], np.int64)
+            counts = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
             ids = np.asarray(lists.flatten(), np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bpe.decode(ids, counts), pa.string())], names=[id_column, "text"])
 

@@ -206,6 +206,9 @@ def test_bpe_columns(spark):
     df = spark.createDataFrame([(1, "some text"), (2, None)], "id bigint, t string")
     ids = bpe.encode_column(df, "id", "t", byte_bpe_path())
     assert {r["id"]: r["text"] for r in bpe.decode_column(ids, "id", "ids", byte_bpe_path()).collect()} == {1: "some text", 2: ""}
+    nothing = spark.createDataFrame([(1, None), (2, []), (None, None)], "id bigint, ids array<int>")
+    assert sorted((r["id"], r["text"]) for r in bpe.decode_column(nothing.filter("id > 0"), "id", "ids", byte_bpe_path()).collect()) == [(1, ""), (2, "")]
+    assert bpe.decode_column(nothing, "id", "ids", byte_bpe_path()).count() == 3
 
 
 @settings(max_examples=100, deadline=None)
