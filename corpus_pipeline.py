@@ -29,9 +29,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of linked fingerprints: the smallest doc_id, null ids last, then the smallest text hash."""
-    keyed = docs.withColumn("key", F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.xxhash64("text").alias("th")))
-    kept = simhash.near_duplicates(keyed, "key", "text").select(F.col("component_id").alias("keep")).distinct()
-    return keyed.join(kept, F.col("key").eqNullSafe(F.col("keep")), "left_semi").dropDuplicates(["key"]).select(*COLUMNS)
+    parts = ["no_id", "some_id", "th"]  # none of them null, so that the join and what follows it are dealt alike
+    keyed = docs.select(*COLUMNS, F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("some_id"), F.xxhash64("text").alias("th"))
+    kept = simhash.near_duplicates(keyed.select(F.struct(*parts).alias("key"), "text"), "key", "text").select("component_id.*").distinct()
+    return keyed.join(kept, parts, "left_semi").dropDuplicates(parts).select(*COLUMNS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
