@@ -31,11 +31,11 @@ def timed(load: Callable[[], DataFrame], steps: Callable[[DataFrame, int], objec
 
 
 def regression(spark: SparkSession, rows: int, dim: int, iterations: int) -> dict:
-    return timed(lambda: generators.blob_points(spark, rows, 1, dim).repartition(8), lambda p, n: logreg.fit(p, generators.initial_weights(dim), n), iterations)
+    return timed(lambda: generators.blob_points(spark, max(1, rows // 8), 8, dim), lambda p, n: logreg.fit(p, generators.initial_weights(dim), n), iterations)
 
 
 def clustering(spark: SparkSession, rows: int, dim: int, iterations: int) -> dict:
-    return timed(lambda: generators.blob_points(spark, rows, 1, dim).repartition(8), lambda p, n: kmeans.fit(p, kmeans.first_centers(p, 8), n), iterations)
+    return timed(lambda: generators.blob_points(spark, max(1, rows // 8), 8, dim), lambda p, n: kmeans.fit(p, kmeans.first_centers(p, 8), n), iterations)
 
 
 def ranks(spark: SparkSession, rows: int, dim: int, iterations: int) -> dict:
